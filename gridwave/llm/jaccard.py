@@ -21,9 +21,12 @@ Plan, with every step linear in the documents:
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -33,13 +36,16 @@ from .components import components
 from .store import Scratch
 from .words import FOLD, SPACED, Words, shingle_sets
 
-SKETCH_BITS = 18
-_PIECE = 1 << 12  # counters in a row of the sketch
+#: Counters of the frequency sketch, 2 bytes each once summed; a fixed size for any corpus.
+SKETCH_BITS = 23
+_PIECE = 1 << 16  # counters in a row of the sketch
 #: A shingle that one chunk sees in so many documents is aggregated there.
 LOCAL_HOT = 8
 #: Prefix entries that one task groups, and shingles in one block of a star.
 ENTRIES_A_TASK, BLOCK_SHINGLES = 2_000_000, 1_500_000
 MAX_MATCHES = 24
+#: Sizes are known to the tasks that group entries as whole powers of 1.1.
+SIZE_STEP = 1.1
 
 
 def class_key(s: np.ndarray) -> int:
@@ -51,8 +57,10 @@ class Prefixes:
     """The global order, and how long a prefix each set takes."""
 
     def __init__(self, sketch: np.ndarray, percent: int):
-        self.rank = sketch
-        self.floor = int(np.median(sketch))
+        middle = int(np.median(sketch))
+        shift = max(0, middle.bit_length() - 13)
+        self.rank = np.minimum(sketch >> shift, 65535).astype(np.uint16)
+        self.floor, self.shift = middle >> shift, shift
         self.percent = percent
 
     def __call__(self, s: np.ndarray) -> tuple[np.ndarray, int]:
@@ -63,7 +71,7 @@ class Prefixes:
         order = np.lexsort((s, seen))
         top = min(MAX_MATCHES, least)
         base = n - least
-        load = np.cumsum(np.maximum(seen[order[: base + top]].astype(np.int64) - self.floor, 0))
+        load = np.cumsum(np.maximum(seen[order[: base + top]].astype(np.int64) - self.floor, 0) << self.shift)
         l = np.arange(1, top + 1)  # noqa: E741
         cost = (base + l) + (1 + n / 16) * load[base : base + top] / l
         best = int(np.argmin(cost)) + 1
@@ -77,10 +85,10 @@ def _scan(batches, text, size):
 
 def _classes(id_, id_type, text, size):
     def run(batches):
-        counters = np.zeros(1 << SKETCH_BITS, np.int64)
+        counters = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch, sets in _scan(batches, text, size):
             every = np.concatenate([*sets, np.empty(0, np.uint64)])
-            counters += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            np.add.at(counters, (every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             n = len(sets)
             yield pa.RecordBatch.from_pydict({
                 "id": batch.column(batch.schema.get_field_index(id_)),
@@ -92,29 +100,38 @@ def _classes(id_, id_type, text, size):
         k = len(parts)
         yield pa.RecordBatch.from_pydict({
             "id": pa.nulls(k, id_type), "n": pa.nulls(k, pa.int64()), "c": pa.nulls(k, pa.int64()),
-            "piece": pa.array(range(k), pa.int32()), "counts": pa.array([x.astype("<i8").tobytes() for x in parts], pa.binary()),
+            "piece": pa.array(range(k), pa.int32()), "counts": pa.array([_packed(x) for x in parts], pa.binary()),
         })
 
     return run
 
 
+def _packed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.astype("<u4").tobytes())
+
+
+def _unpacked(v: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(v), "<u4")
+
+
 def _add_pieces(batches):
     totals: dict[int, np.ndarray] = {}
     for b in batches:
         for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            x = np.frombuffer(v, "<i8")
-            totals[k] = totals[k] + x if k in totals else x.copy()
-    yield pa.RecordBatch.from_pydict({"piece": pa.array(list(totals), pa.int32()), "counts": pa.array([v.tobytes() for v in totals.values()], pa.binary())})
+            totals[k] = totals.get(k, 0) + _unpacked(v).astype(np.int64)
+    largest = np.iinfo(np.uint32).max
+    yield pa.RecordBatch.from_pydict({"piece": pa.array(list(totals), pa.int32()), "counts": pa.array([_packed(np.minimum(v, largest)) for v in totals.values()], pa.binary()), "total": pa.array([int(v.sum()) for v in totals.values()], pa.int64())})
 
 
-def _read_sketch(rows: DataFrame) -> np.ndarray:
-    """A fixed number of counters, whatever the corpus."""
+def _read_sketch(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """A fixed number of counters, whatever the corpus, and their sum."""
     pieces = rows.where("piece IS NOT NULL").select("piece", "counts")
-    summed = pieces.repartition("piece").mapInArrow(_add_pieces, "piece int, counts binary")
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in summed.collect():
-        out[r.piece * _PIECE : (r.piece + 1) * _PIECE] = np.frombuffer(r.counts, "<i8")
-    return out
+    summed = pieces.repartition("piece").mapInArrow(_add_pieces, "piece int, counts binary, total long")
+    out, total = np.zeros(1 << SKETCH_BITS, np.uint32), 0
+    for r in summed.toLocalIterator():
+        out[r.piece * _PIECE : (r.piece + 1) * _PIECE] = _unpacked(r.counts)
+        total += r.total
+    return out, total
 
 
 _POSTED = pa.schema([("p", pa.int32()), ("blob", pa.binary()), ("token", pa.int64()), ("c", pa.int64())])
@@ -127,7 +144,7 @@ def _post(text, size, prefixes, parts):
     def run(batches):
         seen: set[int] = set()  # classes of this task that are done
         for _, sets in _scan(batches, text, size):
-            tokens, owners = [], []
+            tokens, owners, sizes = [], [], []
             for s in sets:
                 if not len(s) or (c := class_key(s)) in seen:
                     continue
@@ -135,11 +152,12 @@ def _post(text, size, prefixes, parts):
                 t, _ = pre.value(s)
                 tokens.append(t)
                 owners.append(np.full(len(t), c, np.int64))
+                sizes.append(np.full(len(t), int(math.log(len(s), SIZE_STEP)), np.uint8))
             if not tokens:
                 continue
-            t, c = np.concatenate(tokens).view(np.int64), np.concatenate(owners)
+            t, c, z = np.concatenate(tokens).view(np.int64), np.concatenate(owners), np.concatenate(sizes)
             order = np.lexsort((c, t))
-            t, c = t[order], c[order]
+            t, c, z = t[order], c[order], z[order]
             begin = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
             many = np.diff(np.concatenate((begin, [len(t)])))
             hot = np.repeat(many >= LOCAL_HOT, many)
@@ -149,13 +167,13 @@ def _post(text, size, prefixes, parts):
             if member.any():
                 k = int(member.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.random.default_rng(int(c[0]) & 0xFFFF).integers(0, parts, k), pa.int32()), pa.nulls(k, pa.binary()), pa.array(t[member]), pa.array(c[member])], schema=_POSTED)
-            t, c, hot = t[~member], c[~member], hot[~member]
+            t, c, z, hot = t[~member], c[~member], z[~member], hot[~member]
             part = (t.view(np.uint64) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            t, c, hot, part = t[order], c[order], hot[order], part[order]
+            t, c, z, hot, part = t[order], c[order], z[order], hot[order], part[order]
             begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             ends = [*begin[1:], len(part)]
-            blobs = [t[a:b].tobytes() + c[a:b].tobytes() + hot[a:b].tobytes() for a, b in zip(begin, ends)]
+            blobs = [t[a:b].tobytes() + c[a:b].tobytes() + z[a:b].tobytes() + hot[a:b].tobytes() for a, b in zip(begin, ends)]
             yield pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.int64()), pa.nulls(len(blobs), pa.int64())], schema=_POSTED)
 
     return run
@@ -171,32 +189,33 @@ def _stars(batches):
         k = len(c)
         return pa.RecordBatch.from_arrays([pa.array([kind] * k, pa.string()), pa.array(token, pa.int64()), pa.array(lead, pa.int64()), pa.array(c, pa.int64())], schema=_STARS)
 
-    ts, cs, hs = [], [], []
+    parts = []
     for b in batches:
         own = b.column(1).is_null()
         m = b.filter(own)
         if m.num_rows:
             yield rows("m", m.column(2), pa.nulls(m.num_rows, pa.int64()), m.column(3))
         for v in b.column(1).drop_null().to_pylist():
-            k = len(v) // 17
-            ts.append(np.frombuffer(v, np.int64, k))
-            cs.append(np.frombuffer(v, np.int64, k, 8 * k))
-            hs.append(np.frombuffer(v, bool, k, 16 * k))
-    if not ts:
+            k = len(v) // 18
+            parts.append((np.frombuffer(v, np.int64, k), np.frombuffer(v, np.int64, k, 8 * k), np.frombuffer(v, np.uint8, k, 16 * k), np.frombuffer(v, bool, k, 17 * k)))
+    if not parts:
         return
-    t, c, hot = np.concatenate(ts), np.concatenate(cs), np.concatenate(hs)
-    del ts, cs, hs
-    order = np.lexsort((c, t))
-    t, c, hot = t[order], c[order], hot[order]
-    begin = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-    many = np.diff(np.concatenate((begin, [len(t)])))
-    lead = np.repeat(c[begin], many)
+    t, c, z, hot = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    order = np.lexsort((c, z, t))
+    t, c, z, hot = t[order], c[order], z[order], hot[order]
+    new = np.concatenate(([True], t[1:] != t[:-1]))
+    begin = np.flatnonzero(new)
     flagged = np.logical_or.reduceat(hot, begin)
+    # sizes too far apart to link part a list, unless members of it are elsewhere
+    apart = np.concatenate(([False], z[1:].astype(int) - z[:-1] > 3)) & ~np.repeat(flagged, np.diff(np.concatenate((begin, [len(t)]))))
+    run = np.flatnonzero(new | apart)
+    lead = np.repeat(np.minimum.reduceat(c, run), np.diff(np.concatenate((run, [len(t)]))))
     other = lead != c
     pairs = np.unique(np.stack((lead[other], c[other])), axis=1)
     yield rows("s", np.zeros(pairs.shape[1], np.int64), pairs[0], pairs[1])
     at = begin[flagged]
-    yield rows("h", t[at], c[at], c[at])
+    yield rows("h", t[at], lead[at], lead[at])
 
 
 def _bloom(ids: DataFrame, n: int) -> np.ndarray:
@@ -212,6 +231,7 @@ def _bloom(ids: DataFrame, n: int) -> np.ndarray:
 def _sets(id_, text, size, bloom):
     def run(batches):
         bits = bloom.value
+        seen: set[int] = set()
         mask = (len(bits) << 6) - 1
 
         def wanted():
@@ -220,7 +240,9 @@ def _sets(id_, text, size, bloom):
                 yield b.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
 
         for b, sets in _scan(wanted(), text, size):
-            yield pa.RecordBatch.from_pydict({"id": b.column(b.schema.get_field_index(id_)), "c": pa.array([class_key(s) for s in sets], pa.int64()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())})
+            ids, keys = b.column(b.schema.get_field_index(id_)), [class_key(s) for s in sets]
+            new = [i for i, x in enumerate(zip(ids.to_pylist(), keys)) if not (x in seen or seen.add(x))]  # a row may be repeated
+            yield pa.RecordBatch.from_pydict({"id": ids.take(pa.array(new, pa.int64())), "c": pa.array([keys[i] for i in new], pa.int64()), "tokens": pa.array([sets[i].tobytes() for i in new], pa.binary())})
 
     return run
 
@@ -360,9 +382,9 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _edges(spark: SparkSession, sc, store, docs, rows, slim, id_type, words, percent) -> DataFrame:
-    sketch = _read_sketch(rows)
+    sketch, total = _read_sketch(rows)
     prefixes = sc.broadcast(Prefixes(sketch, percent))
-    entries = int(sketch.sum()) * (100 - percent) // 100
+    entries = total * (100 - percent) // 100
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // ENTRIES_A_TASK)
     posted = docs.select("text").mapInArrow(_post("text", words, prefixes, parts), "p int, blob binary, token long, c long")
     starred = store.table(posted.repartition(parts, "p").mapInArrow(_stars, "kind string, token long, lead long, c long"), "stars")
@@ -376,7 +398,7 @@ def _edges(spark: SparkSession, sc, store, docs, rows, slim, id_type, words, per
     bloom = sc.broadcast(_bloom(wanted, n))
     sets = (
         docs.select("id", "text", F.xxhash64("id").alias("_h")).mapInArrow(_sets("id", "text", words, bloom), f"id {id_type}, c long, tokens binary")
-        .join(wanted, ["id", "c"]).dropDuplicates(["c"]).select("c", "tokens")
+        .join(wanted, ["id", "c"]).select("c", "tokens")
     )
     weight = star.join(wanted.select("c", "n"), "c").groupBy("lead").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES))).cast("int").alias("k"))
     placed = star.join(weight, "lead").withColumn("own", F.pmod(F.xxhash64("c"), F.col("k")).cast("int"))
