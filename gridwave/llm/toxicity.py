@@ -1,12 +1,14 @@
 """Toxicity by weak supervision.
 
-Many voters (one per lexicon word, and patterns) look at each text. A generative label
-model takes their means and covariances over all documents: for voters that are
-independent given the label, cov(i, j) = pi (1 - pi) d_i d_j with d_i the difference of a
-voter's rates in the two classes, so triplets of covariances give every d_i. What a pair
-covaries beyond that is its correlation, and correlated voters share one say. The
-model's posteriors label a bounded sample; a linear classifier over hashed words learns
-them and scores every text.
+Many voters look at each text: one per word of a stated lexicon, patterns, and word stems
+that labelled rows single out. A generative label model takes their means and covariances
+over all documents: for voters that are independent given the label, cov(i, j) =
+pi (1 - pi) d_i d_j with d_i the difference of a voter's rates in the two classes, so
+triplets of covariances give d_i. A voter without such triplets (one language may have a
+single stem) keeps its rates in the labelled rows. What a pair covaries beyond the
+product is its correlation, and correlated voters share one say. The model's posteriors
+label a bounded sample; a linear classifier over hashed words and stems learns them and
+scores every text.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .batches import text_chunks, utf8
 from .linear import CumulativeLink, Rows
-from .words import ALNUM, FOLD, Words
+from .words import ALNUM, FOLD, Words, mix
 
 # fixed values: insults, one voter each
 LEXICON = (
@@ -38,10 +40,16 @@ PATTERNS = {
     "censored": rb"\b[a-z][*#@$]{2,}[a-z]*\b",
     "marks": rb"[!?]{4,}",
 }
-BITS = 18
+BITS = 20
 SIZE = 1 << BITS
 
 
+#: Bytes of the stems that stand beside each whole word.
+STEMS = (4, 5, 6, 7)
+#: Documents whose labels stems are mined from, and the stems that become voters at most.
+MINED_ROWS, MINED_VOTERS = 6000, 48
+
+
 def _slot(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(64 - BITS)).astype(np.int64)
 
@@ -50,30 +58,81 @@ _LEXICON_HASH = Words([w.encode() for w in LEXICON], ALNUM, FOLD).hash
 _PATTERNS = [re.compile(p) for p in PATTERNS.values()]
 #: Patterns need one of these at least; most texts are done with these searches.
 _ROOTS = re.compile(rb"idiot|moron|loser|scum|clown|trash|fool|jerk|stupid|dumb|pathetic|worthless|disgusting|imbecile|shut|ugly|[a-z][*#@$]{2}|[!?]{4}")
-VOTERS = (*LEXICON, *PATTERNS)
-
-
-def votes(texts: list[bytes]) -> np.ndarray:
-    """One row per text, one boolean per voter."""
-    w = Words(texts, ALNUM, FOLD)
-    out = np.zeros((len(texts), len(VOTERS)), bool)
-    order = np.argsort(_LEXICON_HASH)
-    at = np.minimum(np.searchsorted(_LEXICON_HASH[order], w.hash), len(order) - 1)
-    hit = np.flatnonzero(_LEXICON_HASH[order][at] == w.hash)
-    out[w.text_of_word()[hit], order[at[hit]]] = True
-    for i, t in enumerate(texts):
-        t = t.lower()
-        if _ROOTS.search(t):
-            for k, p in enumerate(_PATTERNS):
-                out[i, len(LEXICON) + k] = p.search(t) is not None
-    return out
-
-
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Owner and hashed slot of each distinct word of each text."""
-    w = Words(texts, ALNUM, FOLD)
-    key = np.unique(w.text_of_word() * SIZE + _slot(w.hash))
-    return key // SIZE, key % SIZE, len(texts)
+FIXED_VOTERS = (*LEXICON, *PATTERNS)
+
+
+class Features:
+    """Hashed slots of the words and stems of some texts, by place; and the fixed voters."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts, self.n = texts, len(texts)
+        w = Words(texts, ALNUM, FOLD)
+        self.words, self.owner = w.hash, w.text_of_word()
+        owners, slots = [self.owner], [_slot(w.hash)]
+        folded, size = FOLD[w.buf], w.end - w.start
+        with np.errstate(over="ignore"):
+            for k in STEMS:
+                long_ = np.flatnonzero(size > k)
+                h = np.full(len(long_), k, np.uint64)
+                for j in range(k):
+                    h = mix(h * np.uint64(0x100000001B3) + folded[w.start[long_] + j])
+                owners.append(self.owner[long_])
+                slots.append(_slot(h))
+        key = np.unique(np.concatenate(owners) * SIZE + np.concatenate(slots))
+        self.doc, self.slot = key // SIZE, key % SIZE
+
+    def votes(self, mined: np.ndarray) -> np.ndarray:
+        """One row per text, one boolean per voter: the fixed ones, then the mined slots."""
+        out = np.zeros((self.n, len(FIXED_VOTERS) + len(mined)), bool)
+        order = np.argsort(_LEXICON_HASH)
+        at = np.minimum(np.searchsorted(_LEXICON_HASH[order], self.words), len(order) - 1)
+        hit = np.flatnonzero(_LEXICON_HASH[order][at] == self.words)
+        out[self.owner[hit], order[at[hit]]] = True
+        for i, t in enumerate(self.texts):
+            t = t.lower()
+            if _ROOTS.search(t):
+                for k, p in enumerate(_PATTERNS):
+                    out[i, len(LEXICON) + k] = p.search(t) is not None
+        if len(mined):
+            number = np.full(SIZE, -1)
+            number[mined] = np.arange(len(mined)) + len(FIXED_VOTERS)
+            which = number[self.slot]
+            out[self.doc[which >= 0], which[which >= 0]] = True
+        return out
+
+    def by_text(self) -> list[np.ndarray]:
+        return np.split(self.slot, np.searchsorted(self.doc, np.arange(1, self.n)))
+
+
+def mine(slots: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Slots that labelled toxic texts hold and clean ones hardly do.
+
+    A slot in t toxic and c clean texts counts if chance would give as many with a
+    probability under a quarter over all slots seen (a Chernoff bound). Of slots that mark nearly
+    the same texts, the one with most evidence stays.
+    """
+    n_toxic = int(toxic.sum())
+    if not n_toxic or n_toxic == len(toxic):
+        return np.empty(0, np.int64)
+    t, c = (np.bincount(np.concatenate([s for s, y in zip(slots, toxic) if y == k]), minlength=SIZE) for k in (1, 0))
+    rate = n_toxic / len(toxic)
+    n = np.maximum(t + c, 1)
+    share = np.clip(t / n, 1e-9, 1 - 1e-9)
+    evidence = np.where(share > rate, n * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate))), 0)
+    seen = int(((t + c) > 0).sum())
+    good = np.flatnonzero((evidence > np.log(4 * seen)) & (share >= 0.9))
+    good = good[np.argsort(-evidence[good], kind="stable")][: 20 * MINED_VOTERS]
+    marks = np.zeros((len(good), len(slots)), bool)
+    place = np.full(SIZE, -1)
+    place[good] = np.arange(len(good))
+    for i, s in enumerate(slots):
+        k = place[s]
+        marks[k[k >= 0], i] = True
+    taken: list[int] = []
+    for k in range(len(good)):
+        if len(taken) < MINED_VOTERS and all((marks[k] & marks[j]).sum() < 0.7 * marks[k].sum() for j in taken):
+            taken.append(k)
+    return good[taken]
 
 
 @dataclass
@@ -85,10 +144,11 @@ class LabelModel:
     clean: np.ndarray
     say: np.ndarray
     correlation: np.ndarray
+    silence: tuple[float, float] = (0.1, 0.9)  # rates of texts without any vote
 
     @classmethod
-    def fit(cls, n: int, ones: np.ndarray, both: np.ndarray, prior: float) -> LabelModel:
-        """n texts, votes per voter, and votes of each pair together."""
+    def fit(cls, n: int, ones: np.ndarray, both: np.ndarray, prior: float, known: np.ndarray) -> LabelModel:
+        """n texts, votes per voter, votes of each pair together; known: rates of voters in labelled rows, toxic and clean."""
         v = len(ones)
         m = ones / max(n, 1)
         cov = both / max(n, 1) - np.outer(m, m)
@@ -111,28 +171,32 @@ class LabelModel:
                 d[i] = np.sqrt(np.median(got) / spread)
         clean = np.clip(m - prior * d, 1e-4, 1 - 1e-4)
         toxic = np.clip(m + (1 - prior) * d, 1e-4, 1 - 1e-4)
-        silent = d <= 0  # a voter of which nothing is known has no say
-        toxic[silent] = clean[silent] = np.clip(m[silent], 1e-4, 1 - 1e-4)
+        alone = d <= 0
+        toxic[alone], clean[alone] = np.clip(known[0][alone], 1e-4, 1 - 1e-4), np.clip(known[1][alone], 1e-4, 1 - 1e-4)
+        silent = (ones == 0) | (toxic <= clean)  # of which nothing is known
+        toxic[silent] = clean[silent] = 0.5
+        d = np.where(silent, 0, toxic - clean)
         rest = np.clip((cov - spread * np.outer(d, d)) / np.outer(sd, sd), 0, 1)
         np.fill_diagonal(rest, 0)
         rest[silent] = rest[:, silent] = 0
         return cls(prior, toxic, clean, 1 / (1 + np.where(rest > 0.1, rest, 0).sum(axis=1)), rest)
 
     def posterior(self, z: np.ndarray) -> np.ndarray:
+        """Of being toxic. A voter that says nothing abstains: it may be of another language."""
         yes = np.log(self.toxic / self.clean) * self.say
-        no = np.log((1 - self.toxic) / (1 - self.clean)) * self.say
-        score = np.log(self.prior / (1 - self.prior)) + np.where(z, yes, no).sum(axis=1)
+        score = np.log(self.prior / (1 - self.prior)) + np.where(z, yes, 0).sum(axis=1)
+        score += np.where(z.any(axis=1), 0, np.log(self.silence[0] / self.silence[1]))
         return 1 / (1 + np.exp(-np.clip(score, -40, 40)))
 
 
-def _moments(docs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+def _moments(docs: DataFrame, mined: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """Counts over all texts: voters x voters numbers, whatever the corpus."""
-    v = len(VOTERS)
+    v = len(FIXED_VOTERS) + len(mined)
 
     def run(batches):
         n, both = 0, np.zeros((v, v))
         for _, texts in text_chunks(batches, "text"):
-            z = votes(utf8(texts)).astype(np.float32)
+            z = Features(utf8(texts)).votes(mined).astype(np.float32)
             n, both = n + len(z), both + z.T @ z
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "both": pa.array([both.ravel().astype(np.int64).tolist()], pa.list_(pa.int64()))})
 
@@ -152,33 +216,57 @@ class ToxicityModel:
     linear: CumulativeLink
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        owner, slot, n = features(texts)
-        return self.linear.tails(np.bincount(owner, weights=self.linear.weights[slot], minlength=n))[:, 0]
+        f = Features(texts)
+        return self.linear.tails(np.bincount(f.doc, weights=self.linear.weights[f.slot], minlength=f.n))[:, 0]
 
 
-def fit(df: DataFrame, labels: DataFrame, toxic: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = 12000) -> ToxicityModel:
-    """labels give the rate of toxic documents alone; a sample (the smallest id hashes)
-    of that many documents is labelled by the label model."""
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rate = labels.select(F.avg(toxic.cast("double"))).first()[0]
-    prior = float(np.clip(0.1 if rate is None else rate, 0.005, 0.5))
-    model = LabelModel.fit(*_moments(docs.select("text")), prior)
-    ids = docs.select("id").where("id IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(sample)
-    chosen = docs.join(F.broadcast(ids.distinct()), "id").select("text")
+def _sampled(docs: DataFrame, ids: DataFrame, mined: np.ndarray | None, extra: str) -> list[dict]:
+    """Slots and fixed votes of the documents whose ids are given, in an order that tasks don't decide."""
 
     def run(batches):
         for batch, texts in text_chunks(batches, "text"):
-            raw = utf8(texts)
-            owner, slot, n = features(raw)
-            cut = np.searchsorted(owner, np.arange(1, n))
-            yield pa.RecordBatch.from_pydict({"slots": pa.array([s.astype("<i4").tobytes() for s in np.split(slot, cut)], pa.binary()), "p": pa.array(model.posterior(votes(raw)))})
+            f = Features(utf8(texts))
+            z = f.votes(np.empty(0, np.int64) if mined is None else mined)
+            yield pa.RecordBatch.from_pydict({"slots": pa.array([s.astype("<i4").tobytes() for s in f.by_text()], pa.binary()), "votes": pa.array([np.packbits(x).tobytes() for x in z], pa.binary()), extra: batch.column(1)})
+
+    got = docs.join(F.broadcast(ids), "id").select("text", extra).mapInArrow(run, f"slots binary, votes binary, {extra} int").toArrow().to_pylist()
+    return sorted(got, key=lambda r: (r["slots"], r["votes"], r[extra]))
+
+
+def _unpacked(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray, int]:
+    slots = [np.frombuffer(r["slots"], "<i4").astype(np.int64) for r in rows]
+    bits = np.array([np.unpackbits(np.frombuffer(r["votes"], np.uint8)) for r in rows], bool)
+    return slots, bits, len(rows)
+
 
-    rows = sorted((r["slots"], r["p"]) for r in chosen.mapInArrow(run, "slots binary, p double").toArrow().to_pylist())
+def fit(df: DataFrame, labels: DataFrame, toxic: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = 12000) -> ToxicityModel:
+    """The model. Labels give the rate of toxic documents and the mined stems, from at most
+    MINED_ROWS labelled rows (the smallest id hashes); the label model gives the rest: it
+    labels `sample` documents (the smallest id hashes), labelled or not, for the classifier.
+    """
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    known = labels.select(F.col(id_col).alias("id"), toxic.cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL").dropDuplicates(["id"])
+    rate = known.select(F.avg("toxic")).first()[0]
+    prior = float(np.clip(0.1 if rate is None else rate, 0.005, 0.5))
+    mined, rates = np.empty(0, np.int64), np.zeros((2, len(FIXED_VOTERS)))
+    rows = _sampled(docs, known.orderBy(F.xxhash64("id"), "id").limit(MINED_ROWS), None, "toxic")
+    if rows:
+        slots, bits, _ = _unpacked(rows)
+        y = np.array([r["toxic"] for r in rows])
+        mined = mine(slots, y)
+        z = np.hstack((bits[:, : len(FIXED_VOTERS)], np.array([np.isin(mined, s) for s in slots]).reshape(len(slots), -1)))
+        rates = np.stack([(z[y == k].sum(axis=0) + 0.1) / ((y == k).sum() + 1) for k in (1, 0)])
+    model = LabelModel.fit(*_moments(docs.select("text"), mined), prior, rates)
+    if rows:
+        none = ~z[:, model.toxic > model.clean].any(axis=1)
+        model.silence = tuple(float((none[y == k].sum() + 0.5) / ((y == k).sum() + 1)) for k in (1, 0))
+    ids = docs.select("id").where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(sample).withColumn("any", F.lit(0))
+    rows = _sampled(docs, ids, mined, "any")
     if not rows:
         return ToxicityModel(model, CumulativeLink(np.zeros(SIZE), np.zeros(1) + np.log((1 - prior) / prior)))
-    parts = [np.frombuffer(s, "<i4").astype(np.int64) for s, _ in rows]
-    p = np.array([x for _, x in rows])
-    linear = CumulativeLink.fit(Rows.of([(s, np.ones(len(s), np.float32)) for s in parts]), np.stack((1 - p, p), axis=1), SIZE, rate=0.1, l1=3e-4)
+    slots, bits, _ = _unpacked(rows)
+    p = model.posterior(bits[:, : len(model.toxic)])
+    linear = CumulativeLink.fit(Rows.of([(s, np.ones(len(s), np.float32)) for s in slots]), np.stack((1 - p, p), axis=1), SIZE, epochs=16, rate=0.3, l1=1e-3 * min(1.0, len(slots) / 6000))
     return ToxicityModel(model, linear)
 
 
