@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -44,6 +44,8 @@ LOCAL_HOT = 8
 #: Prefix entries that one task groups, and shingles in one block of a star.
 ENTRIES_A_TASK, BLOCK_SHINGLES = 2_000_000, 1_500_000
 MAX_MATCHES = 24
+#: Each set asks for a match in so many shingles at least; longer prefixes are cheap, fetched sets are not.
+MATCH_EVERY = 16
 #: Sizes are known to the tasks that group entries as whole powers of 1.1.
 SIZE_STEP = 1.1
 
@@ -69,12 +71,13 @@ class Prefixes:
         least = -(-self.percent * n // 100)
         seen = self.rank[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
         order = np.lexsort((s, seen))
-        top = min(MAX_MATCHES, least)
+        low = max(1, n // MATCH_EVERY)
+        top = max(low, min(MAX_MATCHES, least))
         base = n - least
         load = np.cumsum(np.maximum(seen[order[: base + top]].astype(np.int64) - self.floor, 0) << self.shift)
         l = np.arange(1, top + 1)  # noqa: E741
         cost = (base + l) + (1 + n / 16) * load[base : base + top] / l
-        best = int(np.argmin(cost)) + 1
+        best = int(np.argmin(cost[low - 1 :])) + low
         return s[order[: base + best]], best
 
 
@@ -179,22 +182,21 @@ def _post(text, size, prefixes, parts):
     return run
 
 
-_STARS = pa.schema([("kind", pa.string()), ("token", pa.int64()), ("lead", pa.int64()), ("c", pa.int64())])
+_STARS = pa.schema([("kind", pa.string()), ("token", pa.int64()), ("lead", pa.int64()), ("c", pa.int64()), ("k", pa.int64())])
 
 
 def _stars(batches):
-    """Of one part: star rows 's', the star of a hot shingle 'h', and hot members 'm' as they came."""
+    """Of one part: star rows 's' with the shingles k that lead there, the star of a hot shingle 'h', and hot members 'm' as they came."""
 
-    def rows(kind, token, lead, c):
-        k = len(c)
-        return pa.RecordBatch.from_arrays([pa.array([kind] * k, pa.string()), pa.array(token, pa.int64()), pa.array(lead, pa.int64()), pa.array(c, pa.int64())], schema=_STARS)
+    def rows(kind, token, lead, c, k):
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(c), pa.string()), *(pa.array(x, pa.int64()) for x in (token, lead, c, k))], schema=_STARS)
 
     parts = []
     for b in batches:
         own = b.column(1).is_null()
         m = b.filter(own)
         if m.num_rows:
-            yield rows("m", m.column(2), pa.nulls(m.num_rows, pa.int64()), m.column(3))
+            yield rows("m", m.column(2), pa.nulls(m.num_rows, pa.int64()), m.column(3), np.ones(m.num_rows, np.int64))
         for v in b.column(1).drop_null().to_pylist():
             k = len(v) // 18
             parts.append((np.frombuffer(v, np.int64, k), np.frombuffer(v, np.int64, k, 8 * k), np.frombuffer(v, np.uint8, k, 16 * k), np.frombuffer(v, bool, k, 17 * k)))
@@ -210,12 +212,15 @@ def _stars(batches):
     # sizes too far apart to link part a list, unless members of it are elsewhere
     apart = np.concatenate(([False], z[1:].astype(int) - z[:-1] > 3)) & ~np.repeat(flagged, np.diff(np.concatenate((begin, [len(t)]))))
     run = np.flatnonzero(new | apart)
-    lead = np.repeat(np.minimum.reduceat(c, run), np.diff(np.concatenate((run, [len(t)]))))
-    other = lead != c
-    pairs = np.unique(np.stack((lead[other], c[other])), axis=1)
-    yield rows("s", np.zeros(pairs.shape[1], np.int64), pairs[0], pairs[1])
+    many = np.diff(np.concatenate((run, [len(t)])))
+    lead = np.repeat(np.minimum.reduceat(c, run), many)
     at = begin[flagged]
-    yield rows("h", t[at], lead[at], lead[at])
+    yield rows("h", t[at], lead[at], lead[at], np.zeros(len(at), np.int64))
+    shared = np.repeat(many > 1, many) | np.repeat(flagged, np.diff(np.concatenate((begin, [len(t)]))))
+    # a class stands once in a list; tasks that saw copies of it repeat the entry
+    shared &= np.concatenate(([True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])))
+    pairs, k = np.unique(np.stack((lead[shared], c[shared])), axis=1, return_counts=True)
+    yield rows("s", np.zeros(len(k), np.int64), pairs[0], pairs[1], k)
 
 
 def _bloom(ids: DataFrame, n: int) -> np.ndarray:
@@ -387,28 +392,32 @@ def _edges(spark: SparkSession, sc, store, docs, rows, slim, id_type, words, per
     entries = total * (100 - percent) // 100
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // ENTRIES_A_TASK)
     posted = docs.select("text").mapInArrow(_post("text", words, prefixes, parts), "p int, blob binary, token long, c long")
-    starred = store.table(posted.repartition(parts, "p").mapInArrow(_stars, "kind string, token long, lead long, c long"), "stars")
+    starred = store.table(posted.repartition(parts, "p").mapInArrow(_stars, "kind string, token long, lead long, c long, k long"), "stars")
     hot = starred.where("kind = 'h'").select("token", "lead")
-    members = starred.where("kind = 'm'").select("token", "c").join(hot, "token").where("c <> lead").select("lead", "c")
-    leaves = store.table(starred.where("kind = 's'").select("lead", "c").union(members).distinct(), "leaves")
-    star = leaves.union(leaves.select("lead", F.col("lead").alias("c")).distinct())
+    members = starred.where("kind = 'm'").select("token", "c", "k").join(hot, "token").select("lead", "c", "k")
+    held = starred.where("kind = 's'").select("lead", "c", "k").union(members).groupBy("lead", "c").agg(F.sum("k").alias("k"))
     classes = slim.where("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("id"), F.min("n").alias("n"))
-    wanted = store.table(star.select("c").distinct().join(classes, "c"), "wanted")
+    # A pair shares m shingles at least, in stars that both are in. If either leaves its
+    # stars of fewest shingles, up to (m - 1) / 2 of them, one that holds both remains.
+    m = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / MATCH_EVERY))
+    rising = Window.partitionBy("c").orderBy("k", "lead").rowsBetween(Window.unboundedPreceding, 0)
+    held = held.join(classes, "c").withColumn("upto", F.sum("k").over(rising)).where(F.col("upto") > F.floor((m - 1) / 2))
+    held = store.table(held.select("lead", "c", "id", "n"), "held")
+    store.drop("stars")
+    weight = held.groupBy("lead").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES))).cast("int").alias("k"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    star = store.table(held.join(weight, "lead").select("lead", "c", "id", "k"), "star")
+    wanted = star.select("id").distinct()
     n = wanted.count()
     bloom = sc.broadcast(_bloom(wanted, n))
-    sets = (
-        docs.select("id", "text", F.xxhash64("id").alias("_h")).mapInArrow(_sets("id", "text", words, bloom), f"id {id_type}, c long, tokens binary")
-        .join(wanted, ["id", "c"]).select("c", "tokens")
-    )
-    weight = star.join(wanted.select("c", "n"), "c").groupBy("lead").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES))).cast("int").alias("k"))
-    placed = star.join(weight, "lead").withColumn("own", F.pmod(F.xxhash64("c"), F.col("k")).cast("int"))
+    sets = docs.select("id", "text", F.xxhash64("id").alias("_h")).mapInArrow(_sets("id", "text", words, bloom), f"id {id_type}, c long, tokens binary")
+    placed = star.withColumn("own", F.pmod(F.xxhash64("c"), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    blocks = placed.select("lead", "c", "own", other.alias("o")).select(
+    blocks = placed.select("lead", "c", "id", "own", other.alias("o")).select(
         "lead", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"),
-        F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1).alias("side"), "c",
+        F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1).alias("side"), "c", "id",
     )
     # the pairs inside a block are found where i = j; elsewhere only those between two blocks
-    work = blocks.join(sets, "c").select("lead", "i", "j", "side", "c", "tokens").repartition(parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+    work = blocks.join(sets, ["c", "id"]).select("lead", "i", "j", "side", "c", "tokens").repartition(parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j")
     return store.table(work.mapInArrow(_verify(prefixes, percent), "a long, b long"), "edges")
 
 

@@ -108,7 +108,7 @@ def mine(slots: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Slots that labelled toxic texts hold and clean ones hardly do.
 
     A slot in t toxic and c clean texts counts if chance would give as many with a
-    probability under a quarter over all slots seen (a Chernoff bound). Of slots that mark nearly
+    probability under 1 % over all slots seen (a Chernoff bound). Of slots that mark nearly
     the same texts, the one with most evidence stays.
     """
     n_toxic = int(toxic.sum())
@@ -120,7 +120,7 @@ def mine(slots: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     share = np.clip(t / n, 1e-9, 1 - 1e-9)
     evidence = np.where(share > rate, n * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate))), 0)
     seen = int(((t + c) > 0).sum())
-    good = np.flatnonzero((evidence > np.log(4 * seen)) & (share >= 0.9))
+    good = np.flatnonzero((evidence > np.log(100 * seen)) & (share >= 0.9))
     good = good[np.argsort(-evidence[good], kind="stable")][: 20 * MINED_VOTERS]
     marks = np.zeros((len(good), len(slots)), bool)
     place = np.full(SIZE, -1)
