@@ -48,6 +48,8 @@ SIZE = 1 << BITS
 STEMS = (4, 5, 6, 7)
 #: Documents whose labels stems are mined from, and the stems that become voters at most.
 MINED_ROWS, MINED_VOTERS = 6000, 48
+#: Tasks that add up what all tasks have counted; the driver reads one matrix from each.
+_SUMS = 32
 
 
 def _slot(words: np.ndarray) -> np.ndarray:
@@ -192,22 +194,27 @@ class LabelModel:
 def _moments(docs: DataFrame, mined: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """Counts over all texts: voters x voters numbers, whatever the corpus."""
     v = len(FIXED_VOTERS) + len(mined)
+    row = lambda n, both: pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "both": pa.array([both.astype("<i8").tobytes()], pa.binary())})
 
-    def run(batches):
+    def count(batches):
         n, both = 0, np.zeros((v, v))
         for _, texts in text_chunks(batches, "text"):
             z = Features(utf8(texts)).votes(mined).astype(np.float32)
             n, both = n + len(z), both + z.T @ z
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "both": pa.array([both.ravel().astype(np.int64).tolist()], pa.list_(pa.int64()))})
+        yield row(n, both)
 
-    rows = docs.mapInArrow(run, "n long, both array<long>").select("n", F.posexplode("both").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
-    if not rows:
-        return 0, np.zeros(v), np.zeros((v, v))
-    both = np.zeros(v * v)
-    for r in rows:
-        both[r.k] = r.x
-    both = both.reshape(v, v)
-    return rows[0].n, np.diag(both).copy(), both
+    def add(batches):
+        n, both = 0, np.zeros((v, v))
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n, both = n + k, both + np.frombuffer(x, "<i8").reshape(v, v)
+        yield row(n, both)
+
+    n, both = 0, np.zeros((v, v))
+    parts = docs.mapInArrow(count, "n long, both binary").repartition(_SUMS).mapInArrow(add, "n long, both binary")
+    for r in parts.toLocalIterator():
+        n, both = n + r.n, both + np.frombuffer(r.both, "<i8").reshape(v, v)
+    return n, np.diag(both).copy(), both
 
 
 @dataclass
