@@ -47,10 +47,11 @@ class CumulativeLink:
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
     @classmethod
-    def fit(cls, rows: Rows, target: np.ndarray, size: int, epochs: int = 12, batch: int = 256, rate: float = 0.5, l1: float = 1e-5, seed: int = 7) -> CumulativeLink:
-        """target: a distribution over the grades per row."""
+    def fit(cls, rows: Rows, target: np.ndarray, size: int, epochs: int = 12, batch: int = 256, rate: float = 0.5, l1: float = 1e-5, damping: float = 1e-6, seed: int = 7) -> CumulativeLink:
+        """target: a distribution over the grades per row. damping: squared gradients that every
+        feature starts with; the larger, the smaller its first steps."""
         n, grades = target.shape
-        w, seen = np.zeros(size), np.full(size, 1e-6)
+        w, seen = np.zeros(size), np.full(size, damping)
         tail = np.clip(1 - np.cumsum(target.mean(axis=0))[:-1], 1e-3, 1 - 1e-3)
         cut = -np.log(tail / (1 - tail))
         cut_seen = np.full(grades - 1, 1e-6)

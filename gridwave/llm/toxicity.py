@@ -273,7 +273,7 @@ def fit(df: DataFrame, labels: DataFrame, toxic: Column, id_col: str = "doc_id",
         return ToxicityModel(model, CumulativeLink(np.zeros(SIZE), np.zeros(1) + np.log((1 - prior) / prior)))
     slots, bits, _ = _unpacked(rows)
     p = model.posterior(bits[:, : len(model.toxic)])
-    linear = CumulativeLink.fit(Rows.of([(s, np.ones(len(s), np.float32)) for s in slots]), np.stack((1 - p, p), axis=1), SIZE, epochs=16, rate=0.3, l1=1e-3 * min(1.0, len(slots) / 6000))
+    linear = CumulativeLink.fit(Rows.of([(s, np.ones(len(s), np.float32)) for s in slots]), np.stack((1 - p, p), axis=1), SIZE, epochs=16, batch=128, rate=0.3, l1=1e-3, damping=1 / 256**2)
     return ToxicityModel(model, linear)
 
 
