@@ -12,7 +12,8 @@ Plan, with every step linear in the documents:
 1. one scan: set size, a 64-bit class key of the set, and a counting sketch;
 2. one scan: prefix shingles, grouped by shingle in NumPy. Classes that share one go
    to the star of its smallest class. A shingle that a chunk sees often is
-   pre-aggregated there, its members take their star by a join;
+   pre-aggregated there: one class enters the list for all, the others follow it to
+   its star by a join;
 3. one scan: the sets of classes in stars (a Bloom filter keeps the rest at home);
 4. each star, or pair of bounded blocks of it, finds and verifies its pairs in memory
    and returns a spanning forest of its links, never the pairs;
@@ -137,11 +138,11 @@ def _read_sketch(rows: DataFrame) -> tuple[np.ndarray, int]:
     return out, total
 
 
-_POSTED = pa.schema([("p", pa.int32()), ("blob", pa.binary()), ("token", pa.int64()), ("c", pa.int64())])
+_POSTED = pa.schema([("p", pa.int32()), ("blob", pa.binary()), ("via", pa.int64()), ("c", pa.int64()), ("k", pa.int64())])
 
 
 def _post(text, size, prefixes, parts):
-    """Prefix entries by part, and the further members of locally hot shingles as rows."""
+    """Prefix entries by part; and of locally hot shingles, how many each class c shares with the class that it enters via."""
     pre = prefixes
 
     def run(batches):
@@ -168,8 +169,10 @@ def _post(text, size, prefixes, parts):
             lead[begin] = True
             member = hot & ~lead
             if member.any():
-                k = int(member.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.random.default_rng(int(c[0]) & 0xFFFF).integers(0, parts, k), pa.int32()), pa.nulls(k, pa.binary()), pa.array(t[member]), pa.array(c[member])], schema=_POSTED)
+                via = np.repeat(c[begin], many)[member]
+                pairs, k = np.unique(np.stack((via, c[member])), axis=1, return_counts=True)
+                part = ((pairs[1].view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(k), pa.binary()), pa.array(pairs[0]), pa.array(pairs[1]), pa.array(k, pa.int64())], schema=_POSTED)
             t, c, z, hot = t[~member], c[~member], z[~member], hot[~member]
             part = (t.view(np.uint64) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
@@ -177,26 +180,57 @@ def _post(text, size, prefixes, parts):
             begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             ends = [*begin[1:], len(part)]
             blobs = [t[a:b].tobytes() + c[a:b].tobytes() + z[a:b].tobytes() + hot[a:b].tobytes() for a, b in zip(begin, ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.int64()), pa.nulls(len(blobs), pa.int64())], schema=_POSTED)
+            yield pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(blobs, pa.binary()), *(pa.nulls(len(blobs), pa.int64()) for _ in range(3))], schema=_POSTED)
 
     return run
 
 
-_STARS = pa.schema([("kind", pa.string()), ("token", pa.int64()), ("lead", pa.int64()), ("c", pa.int64()), ("k", pa.int64())])
+_STARS = pa.schema([("q", pa.int32()), ("blob", pa.binary()), ("kind", pa.string()), ("via", pa.int64()), ("lead", pa.int64()), ("c", pa.int64()), ("k", pa.int64())])
+_STAR_COLUMNS = "q int, blob binary, kind string, via long, lead long, c long, k long"
 
 
-def _stars(batches):
-    """Of one part: star rows 's' with the shingles k that lead there, the star of a hot shingle 'h', and hot members 'm' as they came."""
+def _star_rows(kind, q, via, lead, c, k):
+    size = len(k)
+    longs = (pa.nulls(size, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (via, lead, c, k))
+    return pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.nulls(size, pa.binary()), pa.array([kind] * size, pa.string()), *longs], schema=_STARS)
 
-    def rows(kind, token, lead, c, k):
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(c), pa.string()), *(pa.array(x, pa.int64()) for x in (token, lead, c, k))], schema=_STARS)
 
+def _stars(parts):
+    """Of one part: entries (star, class, shared shingles k) in blobs by star; stars 'h' of entering classes; and 'm' as they came."""
+
+    def rows(kind, via, lead, c, k):
+        spread = via if lead is None or kind == "h" else lead
+        return _star_rows(kind, _dealt(np.asarray(spread), parts), via, lead, c, k)
+
+    return lambda batches: _stars_of(batches, rows, parts)
+
+
+def _dealt(c: np.ndarray, parts: int) -> np.ndarray:
+    return ((c.astype(np.int64).view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+
+
+def _merge_stars(batches):
+    """Entries of the same star and class from all parts, added up; other rows pass."""
+    found = []
+    for b in batches:
+        other = b.filter(b.column(1).is_null())
+        if other.num_rows:
+            yield other
+        found += [np.frombuffer(v, np.int64).reshape(3, -1) for v in b.column(1).drop_null().to_pylist()]
+    if found:
+        lead, c, k = np.concatenate(found, axis=1)
+        pairs, which = np.unique(np.stack((lead, c)), axis=1, return_inverse=True)
+        total = np.bincount(which.ravel(), weights=k, minlength=pairs.shape[1]).astype(np.int64)
+        yield _star_rows("s", np.zeros(len(total), np.int32), None, pairs[0], pairs[1], total)
+
+
+def _stars_of(batches, rows, parts_):
     parts = []
     for b in batches:
         own = b.column(1).is_null()
         m = b.filter(own)
         if m.num_rows:
-            yield rows("m", m.column(2), pa.nulls(m.num_rows, pa.int64()), m.column(3), np.ones(m.num_rows, np.int64))
+            yield rows("m", m.column(2), None, m.column(3), m.column(4))
         for v in b.column(1).drop_null().to_pylist():
             k = len(v) // 18
             parts.append((np.frombuffer(v, np.int64, k), np.frombuffer(v, np.int64, k, 8 * k), np.frombuffer(v, np.uint8, k, 16 * k), np.frombuffer(v, bool, k, 17 * k)))
@@ -214,13 +248,19 @@ def _stars(batches):
     run = np.flatnonzero(new | apart)
     many = np.diff(np.concatenate((run, [len(t)])))
     lead = np.repeat(np.minimum.reduceat(c, run), many)
-    at = begin[flagged]
-    yield rows("h", t[at], lead[at], lead[at], np.zeros(len(at), np.int64))
+    pairs, k = np.unique(np.stack((c[hot], lead[hot])), axis=1, return_counts=True)
+    yield rows("h", pairs[0], pairs[1], None, k)
     shared = np.repeat(many > 1, many) | np.repeat(flagged, np.diff(np.concatenate((begin, [len(t)]))))
     # a class stands once in a list; tasks that saw copies of it repeat the entry
     shared &= np.concatenate(([True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])))
     pairs, k = np.unique(np.stack((lead[shared], c[shared])), axis=1, return_counts=True)
-    yield rows("s", np.zeros(len(k), np.int64), pairs[0], pairs[1], k)
+    q = _dealt(pairs[0], parts_)
+    order = np.argsort(q, kind="stable")
+    q, entries = q[order], np.vstack((pairs, k))[:, order]
+    begin = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+    blobs = [np.ascontiguousarray(entries[:, a:b]).tobytes() for a, b in zip(begin, [*begin[1:], len(q)])] if len(q) else []
+    none = pa.nulls(len(blobs), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(q[begin] if blobs else [], pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.string()), none, none, none, none], schema=_STARS)
 
 
 def _bloom(ids: DataFrame, n: int) -> np.ndarray:
@@ -391,10 +431,12 @@ def _edges(spark: SparkSession, sc, store, docs, rows, slim, id_type, words, per
     prefixes = sc.broadcast(Prefixes(sketch, percent))
     entries = total * (100 - percent) // 100
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // ENTRIES_A_TASK)
-    posted = docs.select("text").mapInArrow(_post("text", words, prefixes, parts), "p int, blob binary, token long, c long")
-    starred = store.table(posted.repartition(parts, "p").mapInArrow(_stars, "kind string, token long, lead long, c long, k long"), "stars")
-    hot = starred.where("kind = 'h'").select("token", "lead")
-    members = starred.where("kind = 'm'").select("token", "c", "k").join(hot, "token").select("lead", "c", "k")
+    posted = docs.select("text").mapInArrow(_post("text", words, prefixes, parts), "p int, blob binary, via long, c long, k long")
+    entries_by_star = posted.repartition(parts, "p").mapInArrow(_stars(parts), _STAR_COLUMNS)
+    starred = store.table(entries_by_star.repartition(parts, "q").mapInArrow(_merge_stars, _STAR_COLUMNS).select("kind", "via", "lead", "c", "k"), "stars")
+    # k is a bound where a class came via another one: of its shingles, or of the other's
+    hot = starred.where("kind = 'h'").groupBy("via", "lead").agg(F.sum("k").alias("kh"))
+    members = starred.where("kind = 'm'").select("via", "c", "k").join(hot, "via").select("lead", "c", F.least("k", "kh").alias("k"))
     held = starred.where("kind = 's'").select("lead", "c", "k").union(members).groupBy("lead", "c").agg(F.sum("k").alias("k"))
     classes = slim.where("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("id"), F.min("n").alias("n"))
     # A pair shares m shingles at least, in stars that both are in. If either leaves its
