@@ -2,7 +2,8 @@
 
 P(grade > k) = logistic(w.x - threshold_k) with thresholds in order and one weight
 vector; with two grades it is logistic regression. Fitted with AdaGrad on target
-distributions, with an L1 step that keeps words without evidence at zero.
+distributions, with an L1 step that keeps words without evidence at zero; the weights of
+the later half of the epochs are averaged.
 """
 
 from __future__ import annotations
@@ -56,7 +57,8 @@ class CumulativeLink:
         cut = -np.log(tail / (1 - tail))
         cut_seen = np.full(grades - 1, 1e-6)
         order = np.random.default_rng(seed)
-        for _ in range(epochs):
+        tail_w, tail_cut = np.zeros(size), np.zeros(grades - 1)  # sums over the later epochs
+        for epoch in range(epochs):
             for part in np.array_split(order.permutation(n), max(1, n // batch)):
                 owner, index, value = rows.take(part)
                 s = np.bincount(owner, weights=w[index] * value, minlength=len(part))
@@ -76,4 +78,8 @@ class CumulativeLink:
                 w[at] = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
                 cut_seen += dcut**2
                 cut = np.maximum.accumulate(cut - rate * dcut / np.sqrt(cut_seen))
-        return cls(w, cut)
+            if epoch >= epochs // 2:
+                tail_w += w
+                tail_cut += cut
+        late = epochs - epochs // 2
+        return cls(tail_w / late, tail_cut / late)

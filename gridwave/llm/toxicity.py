@@ -58,8 +58,9 @@ def _slot(words: np.ndarray) -> np.ndarray:
 
 _LEXICON_HASH = Words([w.encode() for w in LEXICON], ALNUM, FOLD).hash
 _PATTERNS = [re.compile(p) for p in PATTERNS.values()]
-#: Patterns need one of these at least; most texts are done with these searches.
-_ROOTS = re.compile(rb"idiot|moron|loser|scum|clown|trash|fool|jerk|stupid|dumb|pathetic|worthless|disgusting|imbecile|shut|ugly|[a-z][*#@$]{2}|[!?]{4}")
+#: Patterns over words need a lexicon word; the last two need runs of such marks.
+_MARKED = len(PATTERNS) - 2
+_CENSOR, _MARKS = np.isin(np.arange(256), list(b"*#@$")), np.isin(np.arange(256), list(b"!?"))
 FIXED_VOTERS = (*LEXICON, *PATTERNS)
 
 
@@ -71,17 +72,30 @@ class Features:
         w = Words(texts, ALNUM, FOLD)
         self.words, self.owner = w.hash, w.text_of_word()
         owners, slots = [self.owner], [_slot(w.hash)]
-        folded, size = FOLD[w.buf], w.end - w.start
+        folded = FOLD[w.buf]
+        rows = np.flatnonzero(w.end - w.start > STEMS[0])  # words longer than the stem so far
+        at, size, h = w.start[rows], (w.end - w.start)[rows], np.full(len(rows), 0x5DEECE66D, np.uint64)
         with np.errstate(over="ignore"):
-            for k in STEMS:
-                long_ = np.flatnonzero(size > k)
-                h = np.full(len(long_), k, np.uint64)
-                for j in range(k):
-                    h = mix(h * np.uint64(0x100000001B3) + folded[w.start[long_] + j])
-                owners.append(self.owner[long_])
-                slots.append(_slot(h))
-        key = np.unique(np.concatenate(owners) * SIZE + np.concatenate(slots))
-        self.doc, self.slot = key // SIZE, key % SIZE
+            for j in range(STEMS[-1]):
+                h = (h ^ folded[at + j]) * np.uint64(0x100000001B3)
+                h ^= h >> np.uint64(32)
+                if j + 1 in STEMS:
+                    owners.append(self.owner[rows])
+                    slots.append(_slot(mix(h)))
+                    longer = size > j + 2
+                    rows, at, size, h = rows[longer], at[longer], size[longer], h[longer]
+        self.doc, self.slot = np.concatenate(owners), np.concatenate(slots)
+        self.censored, self.marked = self._runs(w, _CENSOR, 2), self._runs(w, _MARKS, 4)
+
+    @staticmethod
+    def _runs(w: Words, table: np.ndarray, size: int) -> np.ndarray:
+        """The texts with so many bytes of a table in a row."""
+        m = table[w.buf]
+        n = max(len(m) - size + 1, 0)
+        run = m[:n].copy()
+        for k in range(1, size):
+            run &= m[k : k + n]
+        return np.unique(np.searchsorted(w.offset, np.flatnonzero(run), side="right") - 1)
 
     def votes(self, mined: np.ndarray) -> np.ndarray:
         """One row per text, one boolean per voter: the fixed ones, then the mined slots."""
@@ -90,11 +104,13 @@ class Features:
         at = np.minimum(np.searchsorted(_LEXICON_HASH[order], self.words), len(order) - 1)
         hit = np.flatnonzero(_LEXICON_HASH[order][at] == self.words)
         out[self.owner[hit], order[at[hit]]] = True
-        for i, t in enumerate(self.texts):
-            t = t.lower()
-            if _ROOTS.search(t):
-                for k, p in enumerate(_PATTERNS):
-                    out[i, len(LEXICON) + k] = p.search(t) is not None
+        for i in np.flatnonzero(out.any(axis=1)):
+            t = self.texts[i].lower()
+            for k, p in enumerate(_PATTERNS[:_MARKED]):
+                out[i, len(LEXICON) + k] = p.search(t) is not None
+        for k, texts in enumerate((self.censored, self.marked), _MARKED):
+            for i in texts:
+                out[i, len(LEXICON) + k] = _PATTERNS[k].search(self.texts[i].lower()) is not None
         if len(mined):
             number = np.full(SIZE, -1)
             number[mined] = np.arange(len(mined)) + len(FIXED_VOTERS)
@@ -102,8 +118,15 @@ class Features:
             out[self.doc[which >= 0], which[which >= 0]] = True
         return out
 
+    def distinct(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Text and slot, each pair once; keep: which slots to look at."""
+        doc, slot = (self.doc, self.slot) if keep is None else (x[keep[self.slot]] for x in (self.doc, self.slot))
+        key = np.unique(doc * SIZE + slot)
+        return key // SIZE, key % SIZE
+
     def by_text(self) -> list[np.ndarray]:
-        return np.split(self.slot, np.searchsorted(self.doc, np.arange(1, self.n)))
+        doc, slot = self.distinct()
+        return np.split(slot, np.searchsorted(doc, np.arange(1, self.n)))
 
 
 def mine(slots: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
@@ -122,7 +145,7 @@ def mine(slots: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     share = np.clip(t / n, 1e-9, 1 - 1e-9)
     evidence = np.where(share > rate, n * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate))), 0)
     seen = int(((t + c) > 0).sum())
-    good = np.flatnonzero((evidence > np.log(100 * seen)) & (share >= 0.9))
+    good = np.flatnonzero((evidence > np.log(100 * seen)) & (share >= 0.97))
     good = good[np.argsort(-evidence[good], kind="stable")][: 20 * MINED_VOTERS]
     marks = np.zeros((len(good), len(slots)), bool)
     place = np.full(SIZE, -1)
@@ -224,7 +247,8 @@ class ToxicityModel:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         f = Features(texts)
-        return self.linear.tails(np.bincount(f.doc, weights=self.linear.weights[f.slot], minlength=f.n))[:, 0]
+        doc, slot = f.distinct(self.linear.weights != 0)
+        return self.linear.tails(np.bincount(doc, weights=self.linear.weights[slot], minlength=f.n))[:, 0]
 
 
 def _sampled(docs: DataFrame, ids: DataFrame, mined: np.ndarray | None, extra: str) -> list[dict]:
@@ -273,7 +297,7 @@ def fit(df: DataFrame, labels: DataFrame, toxic: Column, id_col: str = "doc_id",
         return ToxicityModel(model, CumulativeLink(np.zeros(SIZE), np.zeros(1) + np.log((1 - prior) / prior)))
     slots, bits, _ = _unpacked(rows)
     p = model.posterior(bits[:, : len(model.toxic)])
-    linear = CumulativeLink.fit(Rows.of([(s, np.ones(len(s), np.float32)) for s in slots]), np.stack((1 - p, p), axis=1), SIZE, epochs=16, batch=128, rate=0.3, l1=1e-3, damping=1 / 256**2)
+    linear = CumulativeLink.fit(Rows.of([(s, np.ones(len(s), np.float32)) for s in slots]), np.stack((1 - p, p), axis=1), SIZE, epochs=24, batch=128, rate=0.5, l1=1e-3, damping=1e-4)
     return ToxicityModel(model, linear)
 
 
