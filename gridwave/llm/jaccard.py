@@ -469,5 +469,6 @@ def _assemble(store: Scratch, slim: DataFrame, edges: DataFrame, id_col: str) ->
     linked = roots.join(classes, "c")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     linked = linked.join(least, "root").select("c", "component")
-    known = classes.join(linked, "c", "left").select("c", F.coalesce("component", "least").alias("component"))
+    # a written table: the last join then has nothing but joins in its stage, and a class of very many copies can be split
+    known = store.table(classes.join(linked, "c", "left").select("c", F.coalesce("component", "least").alias("component")), "known")
     return slim.join(known, "c", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
