@@ -26,10 +26,12 @@ class Bands:
     """Limits of the ratio bytes / compressed bytes, by bytes of text.
 
     limits: (from so many bytes, least ratio, largest ratio), ascending; shorter texts
-    than the first have no limits. Chunks that fall outside are allowed up to a share.
+    than the first have no limits. The least ratios lie between those of random words of
+    letters and digits and those of prose, at every length of their band. Chunks that fall
+    outside are allowed up to a share.
     """
 
-    limits: tuple = ((256, 1.05, 3.0), (512, 1.2, 3.5), (1024, 1.4, 4.0), (4096, 1.5, 4.5), (16384, 1.5, 6.0), (65536, 1.5, 8.0))
+    limits: tuple = ((256, 1.25, 3.0), (512, 1.35, 3.5), (1024, 1.4, 4.0), (4096, 1.5, 4.5), (16384, 1.5, 6.0), (65536, 1.5, 8.0))
     level: int = 3
     chunk: int = 2048
     chunk_limits: tuple = (1.4, 4.0)

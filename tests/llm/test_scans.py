@@ -182,3 +182,17 @@ def test_bands():
     # chunks see what the whole ratio hides
     assert verdict(" ".join(r.choices(words, k=3000)).encode() + b"x" * 9000) == "repetitive"
     assert verdict(b"") is None and verdict(b"tiny") is None
+
+
+def random_words(r, n):
+    """n bytes of words of random letters and digits."""
+    text = ""
+    while len(text) < n:
+        text += "".join(r.choices(string.ascii_letters + string.digits, k=r.randint(3, 12))) + " "
+    return text[:n].encode()
+
+
+@pytest.mark.parametrize("n", [256, 300, 400, 511, 512, 700, 900, 1023, 1024, 2500, 4095, 4096, 9000, 16384, 40000, 65536, 90000])
+def test_random_words_are_incompressible_in_every_band(n):
+    r, packer = random.Random(n), zstandard.ZstdCompressor(level=3)
+    assert all(quality_rules.compression(random_words(r, n), packer, quality_rules.Bands())[2] == "incompressible" for _ in range(20))
