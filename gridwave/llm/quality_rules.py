@@ -1,8 +1,8 @@
 """Rules on whole texts: length, repetition, symbols, and zstandard compression bands.
 
 A text that compresses far better than prose of its length repeats itself; one that
-hardly compresses is random or encoded. Both the whole text and fixed chunks of it are
-held against limits for their length, since prose compresses better the longer it is.
+hardly compresses is random or encoded. Both the whole text and chunks of several sizes
+are held against limits for their length, since prose compresses better the longer it is.
 """
 
 from __future__ import annotations
@@ -28,18 +28,39 @@ class Bands:
     limits: (from so many bytes, least ratio, largest ratio), ascending; shorter texts
     than the first have no limits. The least ratios lie between those of random words of
     letters and digits and those of prose, at every length of their band. Chunks that fall
-    outside are allowed up to a share.
+    outside are allowed up to a share of the bytes; chunk is the largest size of them, and
+    small_chunks has limits for the other sizes.
     """
 
     limits: tuple = ((256, 1.25, 3.0), (512, 1.35, 3.5), (1024, 1.4, 4.0), (4096, 1.5, 4.5), (16384, 1.5, 6.0), (65536, 1.5, 8.0))
     level: int = 3
     chunk: int = 2048
     chunk_limits: tuple = (1.4, 4.0)
+    small_chunks: tuple = ((1024, 1.4, 4.0), (512, 1.3, 3.5), (256, 1.15, 3.0))
     chunk_share: float = 0.25
 
 
+def chunk_shares(text: bytes, packer, bands: Bands) -> tuple[float, float, float]:
+    """Shares of the bytes in chunks under the band, over it, and outside: the largest of any chunk size.
+
+    Small sizes give short texts chunks, and show parts that a large chunk hides. Chunks
+    cover the whole text: the last one ends with it and counts for the bytes that no
+    earlier one holds.
+    """
+    n, most = len(text), (0.0, 0.0, 0.0)
+    for size, low, high in ((bands.chunk, *bands.chunk_limits), *bands.small_chunks):
+        under = over = 0
+        for at in range(0, n, size) if n >= size else ():
+            start = min(at, n - size)
+            ratio = size / len(packer.compress(text[start : start + size]))
+            under += (ratio < low) * (start + size - at)
+            over += (ratio > high) * (start + size - at)
+        most = tuple(max(x, y / n) for x, y in zip(most, (under, over, under + over)))
+    return most
+
+
 def compression(text: bytes, packer, bands: Bands) -> tuple[float, float, str | None]:
-    """Whole ratio, share of full chunks outside the band, and a verdict: null, repetitive or incompressible."""
+    """Whole ratio, share of bytes in chunks outside the band, and a verdict: null, repetitive or incompressible."""
     if not text:
         return 0.0, 0.0, None
     whole = len(text) / len(packer.compress(text))
@@ -47,19 +68,14 @@ def compression(text: bytes, packer, bands: Bands) -> tuple[float, float, str |
     for least, a, b in bands.limits:
         if len(text) >= least:
             low, high = a, b
-    full = len(text) // bands.chunk
-    if full > 1:
-        ratios = [bands.chunk / len(packer.compress(text[i * bands.chunk : (i + 1) * bands.chunk])) for i in range(full)]
-        under, over = sum(r < bands.chunk_limits[0] for r in ratios) / full, sum(r > bands.chunk_limits[1] for r in ratios) / full
-    else:
-        under = over = 0.0
+    under, over, outside = chunk_shares(text, packer, bands)
     verdict = None
     if low is not None:
         if whole > high or over > bands.chunk_share:
             verdict = "repetitive"
         elif whole < low or under > bands.chunk_share:
             verdict = "incompressible"
-    return whole, under + over, verdict
+    return whole, outside, verdict
 
 
 def repeated_words(words: Words, size: int = 8) -> np.ndarray:

@@ -1,5 +1,6 @@
 """Text scans against plain restatements: tokens, secrets, personal data, rules."""
 
+import base64
 import random
 import re
 import string
@@ -196,3 +197,15 @@ def random_words(r, n):
 def test_random_words_are_incompressible_in_every_band(n):
     r, packer = random.Random(n), zstandard.ZstdCompressor(level=3)
     assert all(quality_rules.compression(random_words(r, n), packer, quality_rules.Bands())[2] == "incompressible" for _ in range(20))
+
+
+@pytest.mark.parametrize("before,after", [(300, 300), (1000, 1000), (2000, 2000), (4096, 2000), (3000, 2000), (9000, 5000)])
+def test_chunks_cover_short_texts_and_tails(before, after):
+    r, bands, packer = random.Random(before), quality_rules.Bands(), zstandard.ZstdCompressor(level=3)
+    verdict = lambda t: quality_rules.compression(t, packer, bands)[2]
+    words = ["".join(r.choices("etaoinshrdlu", k=r.randint(2, 9))) for _ in range(2000)]
+    for _ in range(20):
+        prose = " ".join(r.choices(words, k=before)).encode()
+        assert verdict(prose[: before + after]) is None
+        for junk, want in ((base64.b64encode(r.randbytes(after))[:after], "incompressible"), (b"x" * after, "repetitive")):
+            assert verdict(prose[:before] + junk) == verdict(junk + prose[:before]) == want
