@@ -31,6 +31,7 @@ _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9
 _RUN = re.compile(rb"[A-Za-z0-9+/_=-]{20}")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-([0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 _HEX_ANY = re.compile(r"[0-9A-Fa-f]+")
+_NUMBERS = re.compile(r"[0-9+/_=-]+")
 _WORDLIKE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 
@@ -51,12 +52,22 @@ def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("scan", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def known_form(s: str) -> bool:
-    """Digests, UUIDs, plain numbers, and identifiers made of words and short numbers."""
-    if _UUID.fullmatch(s) or (_HEX_ANY.fullmatch(s) and len(s) in DIGEST_LENGTHS) or s.strip("+-/_=").isdigit():
+def made_of_words(s: str, enc: tiktoken.Encoding, ratio: float) -> bool:
+    """Parts of at most two letter or digit runs; letter runs that tokenize like words, and are half of the characters at least."""
+    runs = [_WORDLIKE.findall(p) for p in re.split(r"[+/_=-]+", s) if p]
+    if any(len(r) > 2 for r in runs):
+        return False
+    letters = [x for r in runs for x in r if not x.isdigit()]
+    words = [x for x in letters if len(x) > 2]
+    # one or two letters tell nothing
+    return all(len(x) >= ratio * len(enc.encode_ordinary(x)) for x in words) and 2 * sum(map(len, words)) >= sum(len(x) for r in runs for x in r)
+
+
+def known_form(s: str, enc: tiktoken.Encoding, ratio: float) -> bool:
+    """Digests, UUIDs, plain numbers also with separators, and identifiers made of words and short numbers."""
+    if _UUID.fullmatch(s) or (_HEX_ANY.fullmatch(s) and len(s) in DIGEST_LENGTHS) or _NUMBERS.fullmatch(s):
         return True
-    parts = [p for p in re.split(r"[+/_=-]+", s) if p]
-    return len(parts) > 1 and all(len(_WORDLIKE.findall(p)) <= 2 for p in parts)
+    return len([p for p in re.split(r"[+/_=-]+", s) if p]) > 1 and made_of_words(s, enc, ratio)
 
 
 def base_spans(text: str, lowered: bytes) -> list[tuple[str, int, int]]:
@@ -80,7 +91,7 @@ def scan(text: bytes, test: TokenTest) -> tuple[list, list]:
         enc = _encoding(test.ranks_path, test.pattern)
         for m in _CANDIDATE.finditer(s):
             word = m[0]
-            if known_form(word) or len(word) >= test.ratio * len(enc.encode_ordinary(word)):
+            if known_form(word, enc, test.ratio) or len(word) >= test.ratio * len(enc.encode_ordinary(word)):
                 continue
             if not any(a < m.end() and m.start() < b for _, a, b in base):
                 more.append(("random", m.start(), m.end()))
