@@ -26,9 +26,11 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs of [0-9a-f]+ with 16 or more
 KINDS = ("assign", "access", "hex", "random")
 
 _KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
-#: High-recall candidates of the token test: unbroken strings with a digit.
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
-_RUN = re.compile(rb"[A-Za-z0-9+/_=-]{20}")
+#: High-recall candidates of the token test: unbroken strings.
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}(?![A-Za-z0-9+/_=-])")
+_RUN = re.compile(rb"[A-Za-z0-9+/_=-]{12}")
+_DIGIT = re.compile(r"[0-9]")
+_ACCENTED = re.compile(r"[\u00c0-\u024f]")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-([0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
 _HEX_ANY = re.compile(r"[0-9A-Fa-f]+")
 _NUMBERS = re.compile(r"[0-9+/_=-]+")
@@ -38,11 +40,19 @@ DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 
 @dataclass(frozen=True)
 class TokenTest:
-    """Candidates with fewer characters a token than `ratio` are random."""
+    """Candidates with fewer characters a token than `ratio` are random.
+
+    short: (below so many characters, ratio), ascending; the fewer characters, the more
+    often a rare word is cut as small as a random string.
+    """
 
     ranks_path: str
     pattern: str
     ratio: float = 2.2
+    short: tuple = ((16, 1.7), (20, 1.85))
+
+    def limit(self, size: int) -> float:
+        return next((ratio for below, ratio in self.short if size < below), self.ratio)
 
 
 @lru_cache(maxsize=2)
@@ -70,6 +80,12 @@ def known_form(s: str, enc: tiktoken.Encoding, ratio: float) -> bool:
     return len([p for p in re.split(r"[+/_=-]+", s) if p]) > 1 and made_of_words(s, enc, ratio)
 
 
+def part_of_word(text: str, start: int, end: int) -> bool:
+    """Letters beside an accented one: the rest of a word, not a string of its own."""
+    beside = text[max(start - 1, 0) : start] + text[end : end + 1]
+    return _ACCENTED.search(beside) is not None and _DIGIT.search(text, start, end) is None
+
+
 def base_spans(text: str, lowered: bytes) -> list[tuple[str, int, int]]:
     found = []
     if any(k in lowered for k in _KEYWORDS):
@@ -91,7 +107,7 @@ def scan(text: bytes, test: TokenTest) -> tuple[list, list]:
         enc = _encoding(test.ranks_path, test.pattern)
         for m in _CANDIDATE.finditer(s):
             word = m[0]
-            if known_form(word, enc, test.ratio) or len(word) >= test.ratio * len(enc.encode_ordinary(word)):
+            if len(word) >= test.limit(len(word)) * len(enc.encode_ordinary(word)) or known_form(word, enc, test.ratio) or part_of_word(s, m.start(), m.end()):
                 continue
             if not any(a < m.end() and m.start() < b for _, a, b in base):
                 more.append(("random", m.start(), m.end()))
@@ -106,7 +122,8 @@ def joined(spans: list) -> str:
 def secret_scan(df: DataFrame, test: TokenTest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, base, spans): arrays of (kind, start, end) per document; code points, end exclusive.
 
-    base holds the pattern kinds alone, spans also what the token test adds. A null text
+    base holds the pattern kinds alone, spans also what the token test adds: strings of 12
+    characters or more, with a stricter limit under 20. A null text
     counts as empty and has no spans. Null or repeated ids give a row each; empty input
     gives no rows; other columns are ignored.
     """
