@@ -95,6 +95,21 @@ def base_spans(text: str, lowered: bytes) -> list[tuple[str, int, int]]:
     return found
 
 
+def told_by_base(text: str, start: int, end: int, base: list, enc: tiktoken.Encoding, ratio: float) -> bool:
+    """Whether base spans hold the candidate, but for words that a separator sets off (a path before a digest)."""
+    rest, at = [], start
+    for a, b in sorted((a, b) for _, a, b in base if a < end and start < b):
+        if a > at:
+            rest.append((at, a))
+        at = max(at, b)
+    if at == start:  # no base span overlaps it
+        return False
+    if at < end:
+        rest.append((at, end))
+    set_off = lambda a, b: (a == start or text[a] in "+/_=-") and (b == end or text[b - 1] in "+/_=-")
+    return all(set_off(a, b) and made_of_words(text[a:b], enc, ratio) for a, b in rest)
+
+
 def scan(text: bytes, test: TokenTest) -> tuple[list, list]:
     """Base spans and all spans of a text, as (kind, start, end) in code points, in order."""
     lowered = text.lower()
@@ -109,7 +124,7 @@ def scan(text: bytes, test: TokenTest) -> tuple[list, list]:
             word = m[0]
             if len(word) >= test.limit(len(word)) * len(enc.encode_ordinary(word)) or known_form(word, enc, test.ratio) or part_of_word(s, m.start(), m.end()):
                 continue
-            if not any(a < m.end() and m.start() < b for _, a, b in base):
+            if not told_by_base(s, m.start(), m.end(), base, enc, test.ratio):
                 more.append(("random", m.start(), m.end()))
     order = lambda x: (x[1], KINDS.index(x[0]))
     return sorted(base, key=order), sorted(base + more, key=order)
