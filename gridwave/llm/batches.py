@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .words import pieces_of
 
 #: Bytes of text that one vectorised step works on; a longer text is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+#: A step takes up to about 100 bytes of memory a byte of its chunk.
+CHUNK_BYTES = 1 << 20
 
 
 def as_bytes(column: pa.Array) -> list:
@@ -18,11 +21,13 @@ def as_bytes(column: pa.Array) -> list:
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of the batches with their texts."""
+    """Slices of the batches with their texts; only the texts of one slice are held as Python bytes."""
     for batch in batches:
-        texts = as_bytes(batch.column(batch.schema.get_field_index(text)))
-        for a, b in pieces_of(texts, (len(t or b"") for t in texts), limit):
-            yield batch.slice(a, b - a), texts[a:b]
+        at = batch.schema.get_field_index(text)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0))
+        for a, b in pieces_of(sizes, sizes.tolist(), limit):
+            part = batch.slice(a, b - a)
+            yield part, as_bytes(part.column(at))
 
 
 def utf8(texts: list) -> list[bytes]:

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import tiktoken
 
 # fixed values: the splitting pattern of the byte_bpe vocabularies
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The pattern looks ahead over white space and needs stack for each character of a run; longer runs are cut off by hand.
+BLANKS = 10_000
+_BLANK_RUN = re.compile(r"[^\S\x1c-\x1f]{%d,}" % BLANKS)
 
 
 class Encoder:
-    """ids(text) without special tokens.
+    """ids(text) without special tokens, of texts of any length.
 
     The vocabulary is read from its JSON file and encoded by tiktoken, which merges by id
     and gives the same ids several times faster.
@@ -28,6 +32,17 @@ class Encoder:
         self.encoding = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
+        if len(text) < BLANKS:
+            return self._plain(text)
+        parts, at = [], 0
+        for m in _BLANK_RUN.finditer(text):
+            # by the pattern a run is one piece, but its last character goes with what follows
+            end = m.end() - (m.end() < len(text))
+            parts += [self._plain(text[at : m.start()]), np.array(self.encoding._encode_single_piece(text[m.start() : end]), np.uint32)]
+            at = end
+        return np.concatenate([*parts, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> np.ndarray:
         return np.array(self.encoding.encode_ordinary(text), np.uint32)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import as_bytes
+from .batches import text_chunks
 from .bpe import encoder
 from .ranks import with_rank
 from .store import Scratch
@@ -82,18 +82,21 @@ def token_pieces(df: DataFrame, vocabulary: str, capacity: int, end_id: int, id_
 
     def run(batches):
         enc = encoder(vocabulary)
-        for batch in batches:
-            owner, rows = [], []
-            for i, t in enumerate(as_bytes(batch.column(1))):
+        for batch, texts in text_chunks(batches, "text"):
+            owner, rows, parts = [], [], []
+            for i, t in enumerate(texts):
                 ids = np.append(enc.ids((t or b"").decode("utf-8", "replace")), np.uint32(end_id)).astype("<u4")
                 for k, (s, n) in enumerate(cut(len(ids), capacity)):
-                    part = ids[s : s + n]
                     owner.append(i)
-                    rows.append((k, s, n, zlib.crc32(part.tobytes()), part.tolist() if with_ids else None))
-            cols = list(zip(*rows)) or [[]] * 5
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-            names = ("piece", "start", "length", "ids_crc32", "ids")
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0).take(pa.array(owner, pa.int64()))} | {n: pa.array(c, k) for n, c, k in zip(names, cols, kinds)})
+                    rows.append((k, s, n, zlib.crc32(ids[s : s + n].tobytes())))
+                    parts.append(ids[s : s + n])
+            piece, start, length, crc = (np.array(c, np.int64) for c in zip(*rows))
+            listed = pa.nulls(len(rows), pa.list_(pa.int32()))
+            if with_ids:
+                listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(np.concatenate(parts).view(np.int32)))
+            yield pa.RecordBatch.from_pydict({
+                "id": batch.column(0).take(pa.array(owner, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start), "length": pa.array(length), "ids_crc32": pa.array(crc), "ids": listed,
+            })
 
     return docs.mapInArrow(run, schema)
 
@@ -102,35 +105,21 @@ def best_fit_packing(df: DataFrame, vocabulary: str, capacity: int = 2048, end_i
     """(id_col, piece, start, length, ids_crc32, sequence_id, offset) per piece; ids too if asked for.
 
     Every document ends with end_id, so a null or empty text is one piece of one id. Null
-    or repeated ids are packed like others, each row on its own. Empty input gives no
-    rows; other columns are ignored.
+    or repeated ids are packed like others, each row on its own, ties in length in the
+    order of id, piece and CRC. A text of any length is read whole, in memory in
+    proportion to it. Empty input gives no rows; other columns are ignored.
     """
-    store = Scratch(df.sparkSession, "packing")
+    spark = df.sparkSession
+    store = Scratch(spark, "packing")
     pieces = token_pieces(df, vocabulary, capacity, end_id, id_col, text_col, with_ids)
     if not with_ids:
         pieces = pieces.drop("ids")
-    pieces = store.table(pieces, "pieces")
+    # one plain number a row, so that rows alike in everything can still be dealt apart
+    pieces = store.table(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     counts = {int(r.length): int(r.n) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
-    spread = F.struct("ids_crc32", "id", "piece")
-    ranked = with_rank(pieces, sum(counts.values()), "length", ["id", "piece", "ids_crc32"], spread, "rank")
-    rows = sorted(plan(counts, capacity))
-    slots = {length: [] for length in counts}
-    for length, rank, _, first, offset in rows:
-        slots[length].append((rank, first, offset))
-    table = df.sparkSession.sparkContext.broadcast({k: np.array(v, np.int64) for k, v in slots.items()})
-    names = [n for n in ranked.columns if n != "rank"]
-
-    def place(batches):
-        for b in batches:
-            length, rank = (b.column(b.schema.get_field_index(n)).to_numpy() for n in ("length", "rank"))
-            seq, off = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-            for n in np.unique(length):
-                at = np.flatnonzero(length == n)
-                own = table.value[int(n)]
-                k = np.searchsorted(own[:, 0], rank[at], side="right") - 1
-                seq[at], off[at] = own[k, 1] + rank[at] - own[k, 0], own[k, 2]
-            kept = {n: b.column(b.schema.get_field_index(n)) for n in names}
-            yield pa.RecordBatch.from_pydict(kept | {"sequence_id": pa.array(seq), "offset": pa.array(off)})
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
-    return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    ranked = with_rank(pieces, sum(counts.values()), "length", ["id", "piece", "ids_crc32", "_row"], F.col("_row"), "_rank")
+    # a few rows a length, whatever the documents
+    slots = spark.createDataFrame(plan(counts, capacity), "length long, _first long, _count long, _sequence long, offset long")
+    placed = ranked.join(F.broadcast(slots), "length").where("_rank >= _first AND _rank < _first + _count")
+    kept = [F.col(c) for c in pieces.columns if c not in ("id", "_row")]
+    return placed.select(F.col("id").alias(id_col), *kept, (F.col("_sequence") + F.col("_rank") - F.col("_first")).alias("sequence_id"), "offset")

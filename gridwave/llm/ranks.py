@@ -13,7 +13,9 @@ def with_rank(df: DataFrame, total: int, group: str, order: list[str], spread: C
     """df with a rank from 0 within each value of group, without one task per group.
 
     Each group is dealt by `spread` to buckets in proportion to its rows; a window ranks
-    the rows of a bucket, and the rows of the buckets before it are added. The counts that
+    the rows of a bucket, and the rows of the buckets before it are added. spread and the last
+    of order should differ from row to row, such as a row number kept in the table; rows that
+    are alike in spread share a bucket. The counts that
     are broadcast have BUCKETS rows and one a group at most; groups must come from a fixed
     set. total: the rows of df, which should be a written table.
     """

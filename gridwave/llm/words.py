@@ -123,7 +123,7 @@ def shingle_sets(words: Words, size: int) -> list[np.ndarray]:
     return out
 
 
-def pieces_of(rows: list, sizes, limit: int):
+def pieces_of(rows, sizes, limit: int):
     """Slices of a list whose sizes add up to the limit at most, with one element at least."""
     begin = total = 0
     for i, s in enumerate(sizes):

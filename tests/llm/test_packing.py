@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import defaultdict
 
@@ -7,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from gridwave.llm import bpe
 from gridwave.llm.bpe import PATTERN, encoder
 from gridwave.llm.packing import best_fit_packing, cut, plan
 
@@ -36,6 +38,25 @@ def test_ids_of_special_strings():
         assert encoder(PATH).ids(text).tolist() == library_ids(text)
 
 
+def test_long_runs_of_one_character():
+    for run in (" ", "\t", "\n \u3000", "\x1c", "a", "!", "7"):
+        text = f"begin{run * 60_000}end  {run * 30_000}"
+        assert encoder(PATH).ids(text).tolist() == library_ids(text)
+    text = " " * 2_000_000 + "x"  # so many need more stack than the tokenizer has
+    assert encoder(PATH).ids(text).tolist() == [library_ids(" ")[0]] * 1_999_999 + library_ids(" x")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from(" \n\t\x1c\x85\u2003ab1!'s"), max_size=30))
+def test_blank_runs_cut_off_by_hand(text):
+    was = bpe.BLANKS, bpe._BLANK_RUN
+    bpe.BLANKS, bpe._BLANK_RUN = 2, re.compile(r"[^\S\x1c-\x1f]{2,}")
+    try:
+        assert encoder(PATH).ids(text).tolist() == library_ids(text)
+    finally:
+        bpe.BLANKS, bpe._BLANK_RUN = was
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 32), max_size=120))
 def test_plan_is_gapless_and_about_best(lengths):
