@@ -3,15 +3,18 @@
 Each task builds word-level suffix arrays of its own texts, a shard at a time, and looks
 up every suffix of every benchmark item in all of them at once: the interval of matching
 suffixes narrows word by word, so its last non-empty state is the longest verbatim match
-and lists where it occurs. Nothing is shuffled; a shard's memory is bounded by its bytes.
+and lists where it occurs. Item suffixes whose intervals are equal are one from there on,
+so items that share a passage cost no more than one of them. Nothing is shuffled; a
+shard's memory is bounded by its bytes.
 
-The benchmark goes to every task in blocks whose bytes are checked; more items make more
-blocks (passes), not larger ones.
+The benchmark is cut into blocks of bounded bytes. They are broadcast as files, and a task
+loads one at a time to search it in the array of its shard: more items make more blocks,
+not more memory.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 from .batches import text_chunks, utf8, with_columns
 from .words import ALNUM, FOLD, Words, pieces_of
 
-#: Text of items that is sent to the executors at once.
-BLOCK_BYTES = 8 << 20
+#: Text of items in a block, of documents in a shard, and item names in a batch of results.
+BLOCK_BYTES, SHARD_BYTES, BATCH_NAMES = 8 << 20, 2 << 20, 100_000
 
 
 def suffix_array(ids: np.ndarray) -> np.ndarray:
@@ -65,7 +68,10 @@ def suffix_array(ids: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Items:
-    """Benchmark items as word hashes: suffix j belongs to item[j] and has left[j] words from it on."""
+    """A block of benchmark items as word hashes: suffix j belongs to item[j] and has left[j] words from it on.
+
+    Items of one name are one; numbers are in the order of the names as strings.
+    """
 
     names: list
     words: np.ndarray
@@ -75,13 +81,16 @@ class Items:
 
     @classmethod
     def of(cls, names: list, texts: list, window: int) -> Items:
-        w = Words(utf8(texts), ALNUM, FOLD)
+        pairs = sorted(zip(map(str, names), utf8(texts)))  # whatever the order of rows
+        names, w = [n for n, _ in pairs], Words([t for _, t in pairs], ALNUM, FOLD)
         count = w.counts
-        item = np.repeat(np.arange(len(names)), count)
-        left = np.concatenate([np.arange(c, 0, -1) for c in count] or [np.empty(0, np.int64)]).astype(np.int64)
+        distinct = sorted(set(names))
+        number = {n: i for i, n in enumerate(distinct)}
+        item = np.repeat(np.array([number[n] for n in names], np.int32), count)
+        left = np.concatenate([np.arange(c, 0, -1, dtype=np.int32) for c in count] or [np.empty(0, np.int32)])
         whole = np.repeat(count, count)
-        need = np.where(whole < window, np.where(left == whole, whole, 0), np.where(left >= window, window, 0))
-        return cls(list(names), w.hash, item, left, need)
+        need = np.where(whole < window, np.where(left == whole, whole, 0), np.where(left >= window, window, 0)).astype(np.int32)
+        return cls(distinct, w.hash, item, left, need)
 
 
 class Shard:
@@ -103,34 +112,27 @@ class Shard:
     def search(self, items: Items):
         """Narrows the intervals of all item suffixes at once.
 
-        Yields ("window", depth, suffixes, lo, hi) where the words that a window needs have
-        just matched, and ("end", depth, suffixes, lo, hi) for occurrences that match no
-        further; every occurrence of a window ends once.
+        Yields (depth, suffixes, lo, hi): the suffixes that match so many words, and where
+        in the order. Of one depth, two intervals are equal or have nothing in common.
         """
-        found = np.searchsorted(self.vocabulary, items.words)
-        found = np.minimum(found, max(len(self.vocabulary) - 1, 0))
-        known = self.vocabulary[found] == items.words if len(self.vocabulary) else np.zeros(len(items.words), bool)
-        ids = np.where(known, found + 1, -1)
-        live = np.flatnonzero(known & (items.need > 0))
+        if not len(self.vocabulary):
+            return
+        found = np.minimum(np.searchsorted(self.vocabulary, items.words), len(self.vocabulary) - 1)
+        ids = np.where(self.vocabulary[found] == items.words, found + 1, -1)
+        live = np.flatnonzero(ids > 0)
         lo, hi = np.zeros(len(live), np.int64), np.full(len(live), len(self.order))
         depth = 0
         while len(live):
             target = ids[live + depth]
-            a, b = self._bound(lo, hi, target, depth, False), self._bound(lo, hi, target, depth, True)
-            go = (a < b) & (target > 0)
-            a, b = np.where(go, a, lo), np.where(go, b, lo)
-            ended = items.need[live] <= depth
-            if depth and ended.any():
-                yield "end", depth, np.tile(live[ended], 2), np.concatenate((lo[ended], b[ended])), np.concatenate((a[ended], hi[ended]))
-            live, lo, hi = live[go], a[go], b[go]
+            known = target > 0
+            live, lo, hi, target = live[known], lo[known], hi[known], target[known]
+            lo, hi = self._bound(lo, hi, target, depth, False), self._bound(lo, hi, target, depth, True)
+            some = lo < hi
+            live, lo, hi = live[some], lo[some], hi[some]
             depth += 1
-            at = items.need[live] == depth
-            if at.any():
-                yield "window", depth, live[at], lo[at], hi[at]
-            last = items.left[live] == depth
-            if last.any():
-                yield "end", depth, live[last], lo[last], hi[last]
-                live, lo, hi = live[~last], lo[~last], hi[~last]
+            yield depth, live, lo, hi
+            more = items.left[live] > depth
+            live, lo, hi = live[more], lo[more], hi[more]
 
     def _bound(self, lo, hi, target, depth, right):
         lo, hi = lo.copy(), hi.copy()
@@ -147,72 +149,113 @@ class Shard:
             hi = np.where(open_ & ~below, mid, hi)
 
 
-def match(texts: list, items: Items, window: int) -> dict:
-    """Per text: n_words, the words hit, item numbers, and the longest verbatim match with its item and word."""
-    words = Words(utf8(texts), ALNUM, FOLD)
-    n = len(texts)
-    out = {"n_words": words.counts, "hit": np.zeros(len(words.hash), bool), "first": words.first, "items": [[] for _ in range(n)], "longest": np.zeros(n, np.int64), "longest_item": np.full(n, -1), "longest_at": np.full(n, -1)}
-    if not len(words.hash) or not len(items.words):
-        return out
-    shard = Shard(words)
-    change = np.zeros(len(words.hash) + 1, np.int64)
-    pairs = []
-    for event, depth, suffix, lo, hi in shard.search(items):
-        many = hi - lo
-        at = np.arange(many.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many)
-        place, suffix = shard.order[at], np.repeat(suffix, many)
-        text, word, item = shard.text[place], shard.word[place], items.item[suffix]
-        if event == "window":
-            change += np.bincount(word, minlength=len(change)) - np.bincount(word + depth, minlength=len(change))
-            pairs.append(np.unique(np.stack((text, item)), axis=1))
-            continue
-        order = np.lexsort((word, item))[::-1]  # depths only grow, so later ends are longer; the first place wins a tie
-        order = order[depth > out["longest"][text[order]]]
-        t = text[order]
-        out["longest"][t], out["longest_item"][t], out["longest_at"][t] = depth, item[order], (word - words.first[text])[order]
-    out["hit"] = np.cumsum(change[:-1]) > 0
-    if pairs:
-        for t, i in np.unique(np.concatenate(pairs, axis=1), axis=1).T:
-            out["items"][t].append(int(i))
-    return out
-
-
-def columns(found: dict, items: Items) -> dict:
-    """The digest columns of some texts."""
-    hits = np.concatenate(([0], np.cumsum(found["hit"])))
-    n_hit = hits[found["first"][1:]] - hits[found["first"][:-1]]
-    names = [sorted(str(items.names[i]) for i in own) for own in found["items"]]
-    where = found["longest_item"]
-    return {
-        "n_words": pa.array(found["n_words"], pa.int64()), "n_hit": pa.array(n_hit, pa.int64()),
-        "items": pa.array(names, pa.list_(pa.string())),
-        "longest_match": pa.array(found["longest"], pa.int64()),
-        "longest_item": pa.array([str(items.names[i]) if i >= 0 else None for i in where], pa.string()),
-        "longest_at": pa.array([int(x) if x >= 0 else None for x in found["longest_at"]], pa.int64()),
-    }
-
-
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[tuple[list, list]]:
-    """The items in blocks of bounded text. They come to the driver block by block of rows, never all documents."""
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).where(F.col(item_col).isNotNull()).toLocalIterator()
-    rows = [(r[0], (r[1] or "").encode()) for r in rows]
-    return [([r[0] for r in rows[a:b]], [r[1] for r in rows[a:b]]) for a, b in pieces_of(rows, (len(r[1]) for r in rows), BLOCK_BYTES)]
-
-
-def _passages(texts: list, blocks: list[Items], window: int) -> dict:
-    """The columns of all blocks together."""
-    parts = [match(texts, b, window) for b in blocks]
-    if len(parts) == 1:
-        return columns(parts[0], blocks[0])
-    own = [columns(p, b) for p, b in zip(parts, blocks)]
-    hit = np.logical_or.reduce([p["hit"] for p in parts])
-    best = np.argmax([p["longest"] for p in parts], axis=0)
-    total = np.concatenate(([0], np.cumsum(hit)))
-    first = parts[0]["first"]
-    out = {"n_words": own[0]["n_words"], "n_hit": pa.array(total[first[1:]] - total[first[:-1]], pa.int64())}
-    out["items"] = pa.array([sorted(x for o in own for x in o["items"][i].as_py()) for i in range(len(texts))], pa.list_(pa.string()))
-    for k in ("longest_match", "longest_item", "longest_at"):
-        out[k] = pa.array([own[b][k][i].as_py() for i, b in enumerate(best)], own[0][k].type)
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of some ranges, and which range each is of."""
+    many = hi - lo
+    which = np.repeat(np.arange(len(lo)), many)
+    return np.arange(len(which)) + (lo - np.concatenate(([0], np.cumsum(many)[:-1])))[which] if len(lo) else np.empty(0, np.int64), which
+
+
+class Overlap:
+    """What the items of some blocks have in common with a shard."""
+
+    def __init__(self, texts: list):
+        self.words = Words(utf8(texts), ALNUM, FOLD)
+        self.n = len(texts)
+        size = len(self.words.hash)
+        self.shard = Shard(self.words) if size else None
+        self.change = np.zeros(size + 1, np.int64)
+        self.names: list[tuple] = [()] * self.n
+        self.longest, self.item, self.at = np.zeros(self.n, np.int64), [None] * self.n, np.zeros(self.n, np.int64)
+
+    def add(self, items: Items) -> None:
+        if self.shard is None or not len(items.words):
+            return
+        shard, size = self.shard, len(self.shard.order)
+        best, whose = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        found = []  # (text, class of windows)
+        classes: dict[bytes, int] = {}
+        for depth, suffix, lo, hi in shard.search(items):
+            distinct, first = np.unique(lo, return_index=True)
+            place, which = _ranges(distinct, hi[first])
+            best[place], whose[place] = depth, suffix[first][which]  # depths only grow
+            due = items.need[suffix] == depth
+            if not due.any():
+                continue
+            suffix, (distinct, first, which) = suffix[due], np.unique(lo[due], return_index=True, return_inverse=True)
+            # windows of equal item sets are of one class
+            number = np.empty(len(distinct), np.int64)
+            pairs = np.unique(which * len(items.names) + items.item[suffix])
+            for k, own in enumerate(np.split(pairs % len(items.names), np.searchsorted(pairs, np.arange(1, len(distinct)) * len(items.names)))):
+                number[k] = classes.setdefault(own.tobytes(), len(classes))
+            place, which = _ranges(distinct, hi[due][first])
+            place = shard.order[place]
+            self.change += np.bincount(shard.word[place], minlength=len(self.change)) - np.bincount(shard.word[place] + depth, minlength=len(self.change))
+            found.append(np.unique(np.stack((shard.text[place], number[which])), axis=1))
+        self._longest(best, whose, items)
+        if found:
+            self._names(np.unique(np.concatenate(found, axis=1), axis=1), [np.frombuffer(k, np.int64) for k in classes], items.names)
+
+    def _longest(self, best: np.ndarray, whose: np.ndarray, items: Items) -> None:
+        """Of each text the longest match and its first place; of equal ones, that of the first item suffix."""
+        word = self.shard.word[self.shard.order]
+        by_word, of = np.zeros(len(self.words.hash), np.int32), np.zeros(len(self.words.hash), np.int32)
+        by_word[word[word >= 0]], of[word[word >= 0]] = best[word >= 0], whose[word >= 0]
+        begin, some = self.words.first[:-1], np.flatnonzero(self.words.counts)
+        most = np.zeros(self.n, np.int64)
+        most[some] = np.maximum.reduceat(by_word, begin[some])
+        for t in np.flatnonzero(most > self.longest):
+            at = int(np.argmax(by_word[begin[t] : self.words.first[t + 1]]))
+            self.longest[t], self.at[t], self.item[t] = most[t], at, items.names[items.item[of[begin[t] + at]]]
+
+    def _names(self, found: np.ndarray, members: list, names: list) -> None:
+        known: dict[tuple, tuple] = {}
+        texts, begin = np.unique(found[0], return_index=True)
+        for t, own in zip(texts, np.split(found[1], begin[1:])):
+            key = tuple(own)
+            if key not in known:
+                known[key] = tuple(names[i] for i in np.unique(np.concatenate([members[k] for k in own])))
+            self.names[t] = tuple(sorted({*self.names[t], *known[key]})) if self.names[t] else known[key]
+
+    @property
+    def hits(self) -> np.ndarray:
+        """Words inside a window, by text."""
+        total = np.concatenate(([0], np.cumsum(np.cumsum(self.change[:-1]) > 0)))
+        return total[self.words.first[1:]] - total[self.words.first[:-1]]
+
+    def columns(self) -> dict:
+        return {
+            "n_words": pa.array(self.words.counts, pa.int64()), "n_hit": pa.array(self.hits, pa.int64()), "items": pa.array(self.names, pa.list_(pa.string())),
+            "longest_match": pa.array(self.longest), "longest_item": pa.array(self.item, pa.string()), "longest_at": pa.array(self.at, pa.int64(), mask=self.longest == 0),
+        }
+
+
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, list]]:
+    """The items in blocks of bounded text, or one longer item; the driver holds one partition and one block."""
+    names, texts, size = [], [], 0
+    for name, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).where(F.col(item_col).isNotNull()).toLocalIterator():
+        raw = (text or "").encode()
+        if names and size + len(raw) > BLOCK_BYTES:
+            yield names, texts
+            names, texts, size = [], [], 0
+        names.append(name)
+        texts.append(raw)
+        size += len(raw)
+    if names:
+        yield names, texts
+
+
+def _broadcast(df: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int) -> list:
+    sc = df.sparkSession.sparkContext
+    return [sc.broadcast(Items.of(n, t, window)) for n, t in item_blocks(benchmark, item_col, item_text_col)]
+
+
+def _overlap(texts: list, blocks: list) -> Overlap:
+    out = Overlap(texts)
+    for b in blocks:
+        out.add(b.value)
+        if len(blocks) > 1:
+            vars(b).pop("_value", None)  # read from its file again for the next shard
     return out
 
 
@@ -224,38 +267,37 @@ def benchmark_overlap(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
     Words: ASCII letters and digits and everything outside ASCII, A-Z lower-cased. A window:
     so many consecutive words of an item, or all of a shorter one. longest_match counts the
-    words of the longest verbatim match that holds a window, longest_item and longest_at
-    (word number) say where. Items without words or with a null id never match; a null
-    document text has no words. Null or repeated ids give a row each; an empty table gives
-    no rows, an empty benchmark no hits; other columns are ignored.
+    words of the longest verbatim match with any item, longest_item and longest_at (word
+    number) say where: of equal matches the first place and, in a block, the least item id
+    as a string. Every suffix of every item is searched, so a match may be shorter than a window.
+    Items without words or with a null id never match; items of one id are one; a null
+    document text has no words. A text of any length is searched whole, in memory in
+    proportion to it. Null or repeated ids give a row each; an empty table gives no rows, an
+    empty benchmark no hits; other columns are ignored.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     blocks = _broadcast(df, benchmark, item_col, item_text_col, window)
 
     def run(batches):
-        for batch, texts in text_chunks(batches, "text"):
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0)} | _passages(texts, blocks.value, window))
+        for batch, texts in text_chunks(batches, "text", SHARD_BYTES):
+            found = _overlap(texts, blocks)
+            out = pa.RecordBatch.from_pydict({"id": batch.column(0)} | found.columns())
+            for a, b in pieces_of(texts, map(len, found.names), BATCH_NAMES):
+                yield out.slice(a, b - a)
 
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, {SCHEMA}").withColumnRenamed("id", id_col)
 
 
-def _broadcast(df, benchmark, item_col, item_text_col, window):
-    blocks = [Items.of(n, t, window) for n, t in item_blocks(benchmark, item_col, item_text_col)] or [Items.of([], [], window)]
-    return df.sparkSession.sparkContext.broadcast(blocks)
-
-
 def remove_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
-    """The documents without any benchmark window, all columns as they were."""
-    blocks = _broadcast(df, benchmark, item_col, item_text_col, window)
-    names = df.columns
+    """The documents without any benchmark window, all columns as they were.
+
+    Nulls, empty and long texts, repeated rows and empty tables as in benchmark_overlap: a
+    document without words is kept, and so is every one if the benchmark is empty.
+    """
+    blocks, names = _broadcast(df, benchmark, item_col, item_text_col, window), df.columns
 
     def run(batches):
-        for batch, texts in text_chunks(batches, text_col):
-            keep = pa.array(np.array(_passages(texts, blocks.value, window)["n_hit"]) == 0)
-            yield with_columns(batch, names, {}).filter(keep)
+        for batch, texts in text_chunks(batches, text_col, SHARD_BYTES):
+            yield with_columns(batch, names, {}).filter(pa.array(_overlap(texts, blocks).hits == 0))
 
     return df.mapInArrow(run, df.schema)
-
-
-def digest(names: list) -> str:
-    return hashlib.sha256(",".join(names).encode()).hexdigest()

@@ -1,6 +1,5 @@
 """Suffix-array matches against brute force."""
 
-import hashlib
 import random
 import re
 
@@ -29,11 +28,12 @@ def brute(rows, items):
                     if w[p : p + k] == v[a : a + k]:
                         hit |= set(range(p, p + k))
                         own.add(str(name))
-                        if k == 10 or a == 0:
-                            n = k
-                            while a + n < len(v) and p + n < len(w) and v[a + n] == w[p + n]:
-                                n += 1
-                            best = max(best, n)
+            for a in range(len(v) if name is not None else 0):
+                for p in range(len(w)):
+                    n = 0
+                    while a + n < len(v) and p + n < len(w) and v[a + n] == w[p + n]:
+                        n += 1
+                    best = max(best, n)
         out.append((i, len(w), len(hit), sorted(own), best))
     return sorted(out, key=str)
 
@@ -94,7 +94,19 @@ def test_suffix_array(ids):
     assert suffix_array(np.array(ids, np.int64)).tolist() == want
 
 
-def test_digest():
-    from gridwave.llm.decontaminate import digest
+def test_items_that_share_a_passage(spark):
+    """The cost follows the passages, not items times documents; every item is named."""
+    r = random.Random(5)
+    passage = prose(r, 30)
+    items = [(k, f"{prose(r, 4)} {passage} {prose(r, 4)}") for k in range(400)] + [(3, passage)]
+    rows = [(i, f"{prose(r, 20)} {passage} {prose(r, 20)}") for i in range(300)]
+    got = benchmark_overlap(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(got) == 300 and all(r["items"] == sorted(str(k) for k in range(400)) and r.n_hit >= 30 and r.longest_match >= 30 for r in got)
+
 
-    assert digest([]) == hashlib.sha256(b"").hexdigest()
+def test_very_long_text(spark):
+    r = random.Random(6)
+    passage = prose(r, 12)
+    rows = [(1, "a " * 300_000 + passage + " b" * 300_000), (2, "a" * 1_000_000)]
+    got = {x.doc_id: x for x in benchmark_overlap(frame(spark, rows), spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1].longest_match, got[1].longest_at) == (600_012, 12, 12, 300_000) and got[2].n_words == 1
