@@ -90,9 +90,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of known forms, and strings with few characters a token."""
+    """Secrets of known forms, and strings with few characters a token; of the token test also how much it looked at, and what it holds for random."""
     found = secrets.secret_scan(_table(spark, sf_dir, "documents"), token_test())
-    return found.select("doc_id", *(_count("base", k) for k in ("assign", "access", "hex")), _sha(_joined("base")).alias("base_sha256"), _joined("spans").alias("spans"))
+    random = F.filter("tested", lambda t: t["verdict"] == "random")
+    return found.select(
+        "doc_id", *(_count("base", k) for k in ("assign", "access", "hex")), _sha(_joined("base")).alias("base_sha256"), _joined("spans").alias("spans"),
+        F.size("tested").cast("long").alias("n_tested"), F.array_join(F.transform(random, lambda t: F.concat_ws(":", t["start"].cast("string"), t["end"].cast("string"))), ",").alias("random"), F.array_min(F.transform("tested", lambda t: t["ratio"])).alias("least_ratio"),
+    )
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
