@@ -25,6 +25,11 @@ class BoostedTrees:
             tree, step = self._tree(binned, prob - y, prob * (1 - prob))
             self.forest.append(tree)
             raw += step
+        nodes = 2 ** (self.depth + 1) - 1
+        self.feature, self.cut, self.value = np.full((self.trees, nodes), -1), np.zeros((self.trees, nodes), int), np.zeros((self.trees, nodes))
+        for i, tree in enumerate(self.forest):
+            for k, (f, t, v) in tree.items():
+                self.feature[i, k], self.cut[i, k], self.value[i, k] = f, t, v
         return self
 
     def _tree(self, b, g, h):
@@ -62,13 +67,11 @@ class BoostedTrees:
         if not len(x):
             return np.empty(0)
         b = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(self.edges, x.T)], axis=1)
-        raw = np.full(len(x), self.bias)
-        for tree in self.forest:
+        raw, rows = np.full(len(x), self.bias), np.arange(len(x))
+        for feature, cut, value in zip(self.feature, self.cut, self.value):
             at = np.zeros(len(x), int)
             for _ in range(self.depth):
-                f = np.array([tree[k][0] for k in at])
-                t = np.array([tree[k][1] for k in at])
-                go = f >= 0
-                at = np.where(go, 2 * at + 1 + (b[np.arange(len(x)), np.maximum(f, 0)] > t), at)
-            raw += np.array([tree[k][2] for k in at])
+                f = feature[at]
+                at = np.where(f >= 0, 2 * at + 1 + (b[rows, np.maximum(f, 0)] > cut[at]), at)
+            raw += value[at]
         return 1 / (1 + np.exp(-raw))

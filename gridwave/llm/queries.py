@@ -99,10 +99,21 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _held_out() -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data of stated forms, and what the boosted trees add."""
-    found = pii.pii_scan(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *(_count("base", k) for k in pii.BASE_KINDS), _sha(_joined("base")).alias("base_sha256"), _joined("spans").alias("spans"))
+    """Personal data of stated forms, and what the boosted trees add; of the trees also how many candidates they scored and selected.
+
+    The trees learn in documents outside the held-out fifth.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.pii_scan(docs, selector=pii.fit(docs.where(~F.coalesce(_held_out(), F.lit(False)))))
+    return found.select(
+        "doc_id", *(_count("base", k) for k in pii.BASE_KINDS), _sha(_joined("base")).alias("base_sha256"), _joined("spans").alias("spans"),
+        F.size("candidates").cast("long").alias("n_scored"), F.size(F.filter("candidates", lambda c: c["selected"])).cast("long").alias("n_selected"), F.array_max(F.transform("candidates", lambda c: c["score"])).alias("best_score"),
+    )
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +124,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores from weak supervision; the toxic rate comes from rows outside the held-out fold."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    held_out = _held_out()
     model = toxicity.fit(docs, labels.where(~held_out), F.col("toxic"))
     return toxicity.toxicity_scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
