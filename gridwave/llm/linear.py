@@ -24,9 +24,20 @@ class Rows:
     @classmethod
     def of(cls, parts: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
         begin = np.concatenate(([0], np.cumsum([len(i) for i, _ in parts]))).astype(np.int64)
-        index = np.concatenate([i for i, _ in parts] or [np.empty(0, np.int64)])
+        index = np.concatenate([i for i, _ in parts] or [np.empty(0, np.int32)])
         return cls(begin, index, np.concatenate([v for _, v in parts] or [np.empty(0, np.float32)]))
 
+    def compact(self, least: int = 1) -> tuple[np.ndarray, Rows]:
+        """The features that `least` rows or more have, and the rows with those alone, by their place among them."""
+        many = np.bincount(self.index, minlength=1)
+        used = np.flatnonzero(many >= max(least, 1))
+        number = np.full(len(many), -1, np.int32)
+        number[used] = np.arange(len(used))
+        place = number[self.index]
+        kept = place >= 0
+        begin = np.concatenate(([0], np.cumsum(kept)))[self.begin]
+        return used, Rows(begin, place[kept], self.value[kept])
+
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Owner within rows, index and value of all their features."""
         many = self.begin[rows + 1] - self.begin[rows]
@@ -48,12 +59,16 @@ class CumulativeLink:
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
     @classmethod
-    def fit(cls, rows: Rows, target: np.ndarray, size: int, epochs: int = 12, batch: int = 256, rate: float = 0.5, l1: float = 1e-5, damping: float = 1e-6, seed: int = 7) -> CumulativeLink:
-        """target: a distribution over the grades per row. damping: squared gradients that every
-        feature starts with; the larger, the smaller its first steps."""
+    def fit(cls, rows: Rows, target: np.ndarray, size: int, epochs: int = 12, batch: int = 256, rate: float = 0.5, l1: float = 1e-5, damping: float = 1e-6, seed: int = 7, weight: np.ndarray | None = None, least: int = 1) -> CumulativeLink:
+        """target: a distribution over the grades per row, weight: what each row counts. damping:
+        squared gradients that every feature starts with; the larger, the smaller its first
+        steps. Features of fewer than `least` rows stay at zero."""
         n, grades = target.shape
+        used, rows, full_size = *rows.compact(least), size
+        size = max(1, len(used))
+        weight = np.ones(n) if weight is None else weight
         w, seen = np.zeros(size), np.full(size, damping)
-        tail = np.clip(1 - np.cumsum(target.mean(axis=0))[:-1], 1e-3, 1 - 1e-3)
+        tail = np.clip(1 - np.cumsum(np.average(target, axis=0, weights=weight))[:-1], 1e-3, 1 - 1e-3)
         cut = -np.log(tail / (1 - tail))
         cut_seen = np.full(grades - 1, 1e-6)
         order = np.random.default_rng(seed)
@@ -67,8 +82,8 @@ class CumulativeLink:
                 full = np.hstack((np.ones((len(part), 1)), tails, np.zeros((len(part), 1))))
                 p = np.maximum(full[:, :-1] - full[:, 1:], 1e-9)
                 slope = np.hstack((np.zeros((len(part), 1)), tails * (1 - tails), np.zeros((len(part), 1))))
-                ds = -(t / p * (slope[:, :-1] - slope[:, 1:])).sum(axis=1)
-                ratio = t / p
+                ds = -(t / p * (slope[:, :-1] - slope[:, 1:])).sum(axis=1) * weight[part]
+                ratio = t / p * weight[part][:, None]
                 dcut = ((ratio[:, 1:] - ratio[:, :-1]) * slope[:, 1:-1]).sum(axis=0) / len(part)
                 g = np.bincount(index, weights=ds[owner] * value, minlength=size) / len(part)
                 at = np.flatnonzero(g)
@@ -82,4 +97,6 @@ class CumulativeLink:
                 tail_w += w
                 tail_cut += cut
         late = epochs - epochs // 2
-        return cls(tail_w / late, tail_cut / late)
+        out = np.zeros(full_size)
+        out[used] = tail_w[: len(used)] / late
+        return cls(out, tail_cut / late)

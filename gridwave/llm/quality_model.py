@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .batches import text_chunks, utf8, with_columns
 from .linear import CumulativeLink, Rows
+from .sampling import by_hash, share_of
 from .words import FOLD, SPACED, Words
 
 WORD_BITS, SHAPE_BITS = 17, 13
@@ -39,13 +40,15 @@ class Features:
         word = (w.hash >> np.uint64(64 - WORD_BITS)).astype(np.int64)
         parts = [(owner, word, _WEIGHT["word"] / n_words[owner])]
         s = _SHAPE[w.buf]
-        at = np.arange(max(len(s) - 2, 0))
-        text = np.repeat(np.arange(self.n), np.diff(w.offset))[: len(at)]
-        inside = at + 2 < w.offset[text + 1] - 1
-        at, text = at[inside], text[inside]
-        shape = (((s[at] * np.uint32(131) + s[at + 1]) * np.uint32(137) + s[at + 2]) * np.uint32(0x9E3779B1) >> np.uint32(32 - SHAPE_BITS)).astype(np.int64)
+        text = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(w.offset))[: max(len(s) - 2, 0)]
+        shape = ((s[:-2] * np.uint32(131) + s[1:-1]) * np.uint32(137) + s[2:]) * np.uint32(0x9E3779B1) >> np.uint32(32 - SHAPE_BITS)
+        inside = np.ones(len(text), bool)  # three bytes of one text
+        for back in (1, 2, 3):
+            at = w.offset[1:] - back
+            inside[at[(at >= 0) & (at < len(text))]] = False
+        text, shape = text[inside], shape[inside].astype(np.int32)
         n_shapes = np.maximum(np.bincount(text, minlength=self.n), 1)
-        parts.append((text, shape + (1 << WORD_BITS), _WEIGHT["shape"] / n_shapes[text]))
+        parts.append((text, shape + np.int32(1 << WORD_BITS), (_WEIGHT["shape"] / n_shapes).astype(np.float32)[text]))
         for k, back in enumerate((1, 2)):
             same = np.flatnonzero((w.hash[back:] == w.hash[:-back]) & (owner[back:] == owner[:-back])) + back
             parts.append((owner[same], np.full(len(same), _REPEATS + k), _WEIGHT["repeat"] / n_words[owner[same]]))
@@ -64,28 +67,36 @@ class Features:
         yield from zip(np.split(distinct % SIZE, cut), np.split(total.astype(np.float32), cut))
 
 
+#: Texts whose distinct features are listed at once; a byte of text takes a hundred or so here.
+_FIT_BYTES = 128 << 10
+
+
 def fit(df: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = 8000) -> CumulativeLink:
-    """The model from at most `sample` rated documents, those with the smallest hash of the id.
+    """The model from `sample` rated documents at most, those with the smallest hashes of the id.
 
-    grade: an integer column over ratings, from 0; rows where it is null are left out. The
-    sample's features come to the driver, a few kB each. Without ratings every text scores 0.
+    grade: an integer column over ratings, from 0; rows where it is null are left out, and of
+    ratings of one id the highest counts, of documents of one id one. The sample's features
+    come to the driver, a few kB each. Null and empty texts have no features. Without
+    ratings, or documents that have them, every text scores 0.
     """
-    rated = ratings.select(F.col(id_col).alias("id"), grade.cast("int").alias("grade")).where("id IS NOT NULL AND grade IS NOT NULL")
-    rated = rated.orderBy(F.xxhash64("id"), "id", "grade").limit(sample)
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(rated), "id").select("text", "grade")
+    rated = ratings.select(F.col(id_col).alias("id"), grade.cast("int").alias("grade")).where("id IS NOT NULL AND grade IS NOT NULL").groupBy("id").agg(F.max("grade").alias("grade"))
+    rated = rated.where(by_hash(share_of(sample, rated.count()), "id"))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(rated), "id").select("id", "text", "grade")  # about `sample` rows
 
     def run(batches):
-        for batch, texts in text_chunks(batches, "text"):
+        for batch, texts in text_chunks(batches, "text", _FIT_BYTES):
             got = list(Features(utf8(texts)).rows())
-            yield pa.RecordBatch.from_pydict({"grade": batch.column(1), "index": pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), "value": pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "grade": batch.column(2), "index": pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), "value": pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary())})
 
-    rows = docs.mapInArrow(run, "grade int, index binary, value binary").toArrow().to_pylist()
+    found = docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, grade int, index binary, value binary")
+    found = found.groupBy("id").agg(F.min(F.struct("index", "value", "grade")).alias("row")).select(F.xxhash64("id").alias("h"), "row.*")
+    rows = sorted(found.toArrow().to_pylist(), key=lambda r: (r["h"] & (2**64 - 1), r["index"]))[:sample]
     if not rows:
         return CumulativeLink(np.zeros(SIZE), np.zeros(1))
     rows.sort(key=lambda r: (r["grade"], r["index"], r["value"]))  # the fit doesn't depend on the order of tasks
     y = np.array([r["grade"] for r in rows])
     target = np.eye(max(2, int(y.max()) + 1))[y]
-    return CumulativeLink.fit(Rows.of([(np.frombuffer(r["index"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4")) for r in rows]), target, SIZE)
+    return CumulativeLink.fit(Rows.of([(np.frombuffer(r["index"], "<i4"), np.frombuffer(r["value"], "<f4")) for r in rows]), target, SIZE)
 
 
 def _judged(model: CumulativeLink, texts: list, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +108,9 @@ def quality_scores(df: DataFrame, model: CumulativeLink, id_col: str = "doc_id",
     """(id_col, expected_grade, p_selected, selected) per document.
 
     p_selected: the probability of grade `least` or better; selected where it reaches the
-    threshold. A null or empty text has no features and gets the model's base rates. Null
-    or repeated ids give a row each; empty input gives no rows; other columns are ignored.
+    threshold, ties included. A null or empty text has no features and gets the model's base
+    rates; a text of any length is read whole, in memory in proportion to it. Null or
+    repeated ids give a row each; empty input gives no rows; other columns are ignored.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -112,7 +124,10 @@ def quality_scores(df: DataFrame, model: CumulativeLink, id_col: str = "doc_id",
 
 
 def select_quality(df: DataFrame, model: CumulativeLink, text_col: str = "text", least: int = 1, threshold: float = 0.5) -> DataFrame:
-    """The selected documents, all columns as they were."""
+    """The selected documents, all columns as they were.
+
+    Null, empty and repeated rows as in quality_scores; an empty table stays empty.
+    """
     shared, names = df.sparkSession.sparkContext.broadcast(model), df.columns
 
     def run(batches):

@@ -7,8 +7,9 @@ pi (1 - pi) d_i d_j with d_i the difference of a voter's rates in the two classe
 triplets of covariances give d_i. A voter without such triplets (one language may have a
 single stem) keeps its rates in the labelled rows. What a pair covaries beyond the
 product is its correlation, and correlated voters share one say. The model's posteriors
-label a bounded sample; a linear classifier over hashed words and stems learns them and
-scores every text.
+label a bounded sample, in which texts with a vote have a greater share and a smaller
+weight; a linear classifier over hashed words and stems, and those that a text repeats,
+learns them and scores every text.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .batches import text_chunks, utf8
 from .linear import CumulativeLink, Rows
+from .sampling import by_hash, share_of
+from .store import Scratch
 from .words import ALNUM, FOLD, Words, mix
 
 # fixed values: insults, one voter each
@@ -46,8 +49,9 @@ SIZE = 1 << BITS
 
 #: Bytes of the stems that stand beside each whole word.
 STEMS = (4, 5, 6, 7)
-#: Documents whose labels stems are mined from, and the stems that become voters at most.
-MINED_ROWS, MINED_VOTERS = 6000, 48
+#: Labelled documents of each class that stems are mined from, the share of toxic texts among
+#: those that a stem marks, and how many voters every labelled toxic text should have.
+MINED_ROWS, LEAST_SHARE, COVER = 4000, 0.7, 3
 #: Tasks that add up what all tasks have counted; the driver reads one matrix from each.
 _SUMS = 32
 
@@ -56,6 +60,17 @@ def _slot(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def _again(slot: np.ndarray) -> np.ndarray:
+    """The slot of a word or stem that a text holds twice or more."""
+    return (slot.astype(np.int64) * 2654435761 + 12345) & (SIZE - 1)
+
+
+def _wanted(slots: np.ndarray) -> np.ndarray:
+    keep = np.zeros(SIZE, bool)
+    keep[slots] = True
+    return keep
+
+
 _LEXICON_HASH = Words([w.encode() for w in LEXICON], ALNUM, FOLD).hash
 _PATTERNS = [re.compile(p) for p in PATTERNS.values()]
 #: Patterns over words need a lexicon word; the last two need runs of such marks.
@@ -112,29 +127,36 @@ class Features:
             for i in texts:
                 out[i, len(LEXICON) + k] = _PATTERNS[k].search(self.texts[i].lower()) is not None
         if len(mined):
-            number = np.full(SIZE, -1)
-            number[mined] = np.arange(len(mined)) + len(FIXED_VOTERS)
-            which = number[self.slot]
-            out[self.doc[which >= 0], which[which >= 0]] = True
+            doc, slot = self.distinct(_wanted(mined))
+            order = np.argsort(mined)
+            out[doc, len(FIXED_VOTERS) + order[np.searchsorted(mined[order], slot)]] = True
         return out
 
     def distinct(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Text and slot, each pair once; keep: which slots to look at."""
-        doc, slot = (self.doc, self.slot) if keep is None else (x[keep[self.slot]] for x in (self.doc, self.slot))
-        key = np.unique(doc * SIZE + slot)
-        return key // SIZE, key % SIZE
+        """Text and slot, each pair once, with the slots of what is repeated; keep: which slots to look at."""
+        doc, slot = self.doc, self.slot
+        if keep is not None:
+            may = (keep | keep[_again(np.arange(SIZE))])[slot]
+            doc, slot = doc[may], slot[may]
+        key, many = np.unique(doc * SIZE + slot, return_counts=True)
+        twice = key[many > 1]
+        key = np.unique(np.concatenate((key, twice // SIZE * SIZE + _again(twice % SIZE))))
+        doc, slot = key // SIZE, key % SIZE
+        return (doc, slot) if keep is None else (doc[keep[slot]], slot[keep[slot]])
 
     def by_text(self) -> list[np.ndarray]:
         doc, slot = self.distinct()
         return np.split(slot, np.searchsorted(doc, np.arange(1, self.n)))
 
 
-def mine(slots: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+def mine(slots: list[np.ndarray], toxic: np.ndarray, weight: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
     """Slots that labelled toxic texts hold and clean ones hardly do.
 
     A slot in t toxic and c clean texts counts if chance would give as many with a
-    probability under 1 % over all slots seen (a Chernoff bound). Of slots that mark nearly
-    the same texts, the one with most evidence stays.
+    probability under 1 % over all slots seen (a Chernoff bound) and LEAST_SHARE of the
+    texts that it marks are toxic, by the weight of a clean and a toxic row. They are taken
+    from the one with most evidence on, as long as two toxic texts gain a voter that had
+    fewer than COVER; so there are at most COVER / 2 for each toxic row, in any language.
     """
     n_toxic = int(toxic.sum())
     if not n_toxic or n_toxic == len(toxic):
@@ -145,17 +167,18 @@ def mine(slots: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     share = np.clip(t / n, 1e-9, 1 - 1e-9)
     evidence = np.where(share > rate, n * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate))), 0)
     seen = int(((t + c) > 0).sum())
-    good = np.flatnonzero((evidence > np.log(100 * seen)) & (share >= 0.97))
-    good = good[np.argsort(-evidence[good], kind="stable")][: 20 * MINED_VOTERS]
-    marks = np.zeros((len(good), len(slots)), bool)
+    good = np.flatnonzero((evidence > np.log(100 * seen)) & (t * weight[1] >= LEAST_SHARE * (t * weight[1] + c * weight[0])))
+    good = good[np.argsort(-evidence[good], kind="stable")]
     place = np.full(SIZE, -1)
     place[good] = np.arange(len(good))
-    for i, s in enumerate(slots):
-        k = place[s]
-        marks[k[k >= 0], i] = True
-    taken: list[int] = []
-    for k in range(len(good)):
-        if len(taken) < MINED_VOTERS and all((marks[k] & marks[j]).sum() < 0.7 * marks[k].sum() for j in taken):
+    marks: list[list[int]] = [[] for _ in good]
+    for i, s in enumerate(s for s, y in zip(slots, toxic) if y):
+        for k in place[s][place[s] >= 0]:
+            marks[k].append(i)
+    cover, taken = np.zeros(n_toxic, int), []
+    for k, own in enumerate(marks):
+        if (cover[own] < COVER).sum() >= max(2, 0.2 * len(own)):
+            cover[own] += 1
             taken.append(k)
     return good[taken]
 
@@ -186,14 +209,13 @@ class LabelModel:
         apart = near < max(0.5, 3 * typical)
         spread = max(prior * (1 - prior), 1e-6)
         d = np.zeros(v)
-        for i in used:
-            got = []
-            for a, j in enumerate(used):
-                for k in used[a + 1 :]:
-                    if i not in (j, k) and apart[i, j] and apart[i, k] and apart[j, k] and cov[j, k] > 1e-9 and cov[i, j] > 0 and cov[i, k] > 0:
-                        got.append(cov[i, j] * cov[i, k] / cov[j, k])
-            if got:
-                d[i] = np.sqrt(np.median(got) / spread)
+        upper = np.triu(np.ones((len(used), len(used)), bool), 1) & apart[np.ix_(used, used)] & (cov[np.ix_(used, used)] > 1e-9)
+        for a, i in enumerate(used):
+            beside = apart[i, used] & (cov[i, used] > 0)
+            beside[a] = False
+            j, k = np.nonzero(upper & beside[:, None] & beside[None, :])
+            if len(j):
+                d[i] = np.sqrt(np.median(cov[i, used[j]] * cov[i, used[k]] / cov[used[j], used[k]]) / spread)
         clean = np.clip(m - prior * d, 1e-4, 1 - 1e-4)
         toxic = np.clip(m + (1 - prior) * d, 1e-4, 1 - 1e-4)
         alone = d <= 0
@@ -214,16 +236,33 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(score, -40, 40)))
 
 
-def _moments(docs: DataFrame, mined: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """Counts over all texts: voters x voters numbers, whatever the corpus."""
+_ROWS = "n long, both binary, h long, slots binary, votes binary, part double"
+
+
+def _moments(store: Scratch, docs: DataFrame, mined: np.ndarray, plain: float, voted: float) -> tuple[int, np.ndarray, np.ndarray, list[dict]]:
+    """Counts over all texts: voters x voters numbers, whatever the corpus; and a sample from the
+    same scan: a share `plain` of the texts, and a share `voted` of those with a vote."""
     v = len(FIXED_VOTERS) + len(mined)
-    row = lambda n, both: pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "both": pa.array([both.astype("<i8").tobytes()], pa.binary())})
+
+    def row(n, both):
+        none = {x: pa.nulls(1, t) for x, t in (("h", pa.int64()), ("slots", pa.binary()), ("votes", pa.binary()), ("part", pa.float64()))}
+        return pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "both": pa.array([both.astype("<i8").tobytes()], pa.binary())} | none)
 
     def count(batches):
         n, both = 0, np.zeros((v, v))
-        for _, texts in text_chunks(batches, "text"):
-            z = Features(utf8(texts)).votes(mined).astype(np.float32)
-            n, both = n + len(z), both + z.T @ z
+        for batch, texts in text_chunks(batches, "text"):
+            f = Features(utf8(texts))
+            z = f.votes(mined)
+            n, both = n + len(z), both + z.T.astype(np.float32) @ z.astype(np.float32)
+            h = batch.column(1).to_numpy().view(np.uint64)
+            part = np.where(z.any(axis=1), max(plain, voted), plain)
+            at = np.flatnonzero(h < part * 2.0**64)
+            if len(at):
+                slots, k = f.by_text(), len(at)
+                yield pa.RecordBatch.from_pydict({
+                    "n": pa.nulls(k, pa.int64()), "both": pa.nulls(k, pa.binary()), "h": batch.column(1).take(pa.array(at)), "slots": pa.array([slots[i].astype("<i4").tobytes() for i in at], pa.binary()),
+                    "votes": pa.array([np.packbits(z[i]).tobytes() for i in at], pa.binary()), "part": pa.array(part[at]),
+                })
         yield row(n, both)
 
     def add(batches):
@@ -231,13 +270,14 @@ def _moments(docs: DataFrame, mined: np.ndarray) -> tuple[int, np.ndarray, np.nd
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 n, both = n + k, both + np.frombuffer(x, "<i8").reshape(v, v)
-        yield row(n, both)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "both": pa.array([both.astype("<i8").tobytes()], pa.binary())})
 
+    found = store.table(docs.select("text", F.xxhash64("id", "text").alias("h")).mapInArrow(count, _ROWS), "counts")
     n, both = 0, np.zeros((v, v))
-    parts = docs.mapInArrow(count, "n long, both binary").repartition(_SUMS).mapInArrow(add, "n long, both binary")
-    for r in parts.toLocalIterator():
+    for r in found.where("n IS NOT NULL").select("n", "both").repartition(_SUMS).mapInArrow(add, "n long, both binary").toLocalIterator():
         n, both = n + r.n, both + np.frombuffer(r.both, "<i8").reshape(v, v)
-    return n, np.diag(both).copy(), both
+    rows = found.where("h IS NOT NULL").groupBy("h").agg(F.min(F.struct("slots", "votes", "part")).alias("row"), F.count(F.lit(1)).alias("copies")).select("copies", "row.*")
+    return n, np.diag(both).copy(), both, sorted(rows.toArrow().to_pylist(), key=lambda r: (r["slots"], r["votes"]))
 
 
 @dataclass
@@ -251,61 +291,80 @@ class ToxicityModel:
         return self.linear.tails(np.bincount(doc, weights=self.linear.weights[slot], minlength=f.n))[:, 0]
 
 
-def _sampled(docs: DataFrame, ids: DataFrame, mined: np.ndarray | None, extra: str) -> list[dict]:
-    """Slots and fixed votes of the documents whose ids are given, in an order that tasks don't decide."""
+def _labelled(docs: DataFrame, known: DataFrame) -> list[dict]:
+    """Slots and fixed votes of the documents that known (id, toxic) names, one an id, in an order that tasks don't decide."""
 
     def run(batches):
         for batch, texts in text_chunks(batches, "text"):
             f = Features(utf8(texts))
-            z = f.votes(np.empty(0, np.int64) if mined is None else mined)
-            yield pa.RecordBatch.from_pydict({"slots": pa.array([s.astype("<i4").tobytes() for s in f.by_text()], pa.binary()), "votes": pa.array([np.packbits(x).tobytes() for x in z], pa.binary()), extra: batch.column(1)})
+            z = f.votes(np.empty(0, np.int64))
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "slots": pa.array([s.astype("<i4").tobytes() for s in f.by_text()], pa.binary()), "votes": pa.array([np.packbits(x).tobytes() for x in z], pa.binary()), "toxic": batch.column(2)})
 
-    got = docs.join(F.broadcast(ids), "id").select("text", extra).mapInArrow(run, f"slots binary, votes binary, {extra} int").toArrow().to_pylist()
-    return sorted(got, key=lambda r: (r["slots"], r["votes"], r[extra]))
+    found = docs.join(F.broadcast(known), "id").select("id", "text", "toxic").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, slots binary, votes binary, toxic int")
+    rows = found.groupBy("id").agg(F.min(F.struct("slots", "votes", "toxic")).alias("row")).select("row.*")
+    return sorted(rows.toArrow().to_pylist(), key=lambda r: (r["slots"], r["votes"], r["toxic"]))
 
 
 def _unpacked(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray, int]:
-    slots = [np.frombuffer(r["slots"], "<i4").astype(np.int64) for r in rows]
+    slots = [np.frombuffer(r["slots"], "<i4") for r in rows]
     bits = np.array([np.unpackbits(np.frombuffer(r["votes"], np.uint8)) for r in rows], bool)
     return slots, bits, len(rows)
 
 
 def fit(df: DataFrame, labels: DataFrame, toxic: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = 12000) -> ToxicityModel:
-    """The model. Labels give the rate of toxic documents and the mined stems, from at most
-    MINED_ROWS labelled rows (the smallest id hashes); the label model gives the rest: it
-    labels `sample` documents (the smallest id hashes), labelled or not, for the classifier.
+    """The model. Labels give the rate of toxic documents and the mined stems, from about
+    MINED_ROWS rows of each class (the smallest id hashes); the label model gives the rest. It
+    labels about `sample` documents, labelled or not, for the classifier: two thirds of them
+    from all, one third from those with a vote, by the smallest hashes of id and text.
+
+    Null and empty texts have no votes; of labels of one id the highest counts, of documents
+    of one id one for mining; rows alike are one of so much weight in the sample. Without
+    labels the rate is a tenth; without documents every text has the base score.
     """
+    store = Scratch(df.sparkSession, "toxicity")
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = labels.select(F.col(id_col).alias("id"), toxic.cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL").dropDuplicates(["id"])
-    rate = known.select(F.avg("toxic")).first()[0]
-    prior = float(np.clip(0.1 if rate is None else rate, 0.005, 0.5))
+    known = labels.select(F.col(id_col).alias("id"), toxic.cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
+    many = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    prior = float(np.clip(many.get(1, 0) / sum(many.values()), 0.005, 0.5)) if many else 0.1
+    shares = [share_of(MINED_ROWS, many.get(k, 0)) for k in (0, 1)]
+    rows = _labelled(docs, known.where(by_hash(F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0]), "id"))) if many else []
     mined, rates = np.empty(0, np.int64), np.zeros((2, len(FIXED_VOTERS)))
-    rows = _sampled(docs, known.orderBy(F.xxhash64("id"), "id").limit(MINED_ROWS), None, "toxic")
+    any_vote = prior
     if rows:
         slots, bits, _ = _unpacked(rows)
         y = np.array([r["toxic"] for r in rows])
-        mined = mine(slots, y)
+        mined = mine(slots, y, (1 / shares[0], 1 / shares[1]))
         z = np.hstack((bits[:, : len(FIXED_VOTERS)], np.array([np.isin(mined, s) for s in slots]).reshape(len(slots), -1)))
         rates = np.stack([(z[y == k].sum(axis=0) + 0.1) / ((y == k).sum() + 1) for k in (1, 0)])
-    model = LabelModel.fit(*_moments(docs.select("text"), mined), prior, rates)
+        any_vote = sum(p * z[y == k].any(axis=1).mean() for k, p in ((1, prior), (0, 1 - prior)) if (y == k).any())
+    n = docs.count()
+    model_of = _moments(store, docs, mined, share_of(sample * 2 // 3, n), share_of(sample // 3, int(n * any_vote)))
+    model = LabelModel.fit(*model_of[:3], prior, rates)
+    store.release()
     if rows:
         none = ~z[:, model.toxic > model.clean].any(axis=1)
         model.silence = tuple(float((none[y == k].sum() + 0.5) / ((y == k).sum() + 1)) for k in (1, 0))
-    ids = docs.select("id").where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(sample).withColumn("any", F.lit(0))
-    rows = _sampled(docs, ids, mined, "any")
+    rows = model_of[3]
     if not rows:
         return ToxicityModel(model, CumulativeLink(np.zeros(SIZE), np.zeros(1) + np.log((1 - prior) / prior)))
     slots, bits, _ = _unpacked(rows)
     p = model.posterior(bits[:, : len(model.toxic)])
-    linear = CumulativeLink.fit(Rows.of([(s, np.ones(len(s), np.float32)) for s in slots]), np.stack((1 - p, p), axis=1), SIZE, epochs=24, batch=128, rate=0.5, l1=1e-3, damping=1e-4)
+    weight = np.array([r["copies"] / r["part"] for r in rows])
+    features = Rows.of([(s, np.ones(len(s), np.float32)) for s in slots])
+    del rows, slots, bits, model_of
+    linear = CumulativeLink.fit(
+        features, np.stack((1 - p, p), axis=1), SIZE,
+        epochs=16, batch=128, rate=0.5, l1=1e-3, damping=1e-4, weight=weight / weight.mean(), least=3,
+    )
     return ToxicityModel(model, linear)
 
 
 def toxicity_scores(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score) per document, 0 to 1.
 
-    A null or empty text has no words and gets the base score. Null or repeated ids give a
-    row each; empty input gives no rows; other columns are ignored.
+    A null or empty text has no words and gets the base score; a text of any length is read
+    whole, in memory in proportion to it. Null or repeated ids give a row each; empty input
+    gives no rows; other columns are ignored.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     shared = df.sparkSession.sparkContext.broadcast(model)

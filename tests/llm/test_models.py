@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridwave.llm import quality_model, toxicity
 from gridwave.llm.linear import CumulativeLink, Rows
 from gridwave.llm.queries import grade, op4_quality_classifier, op10_toxicity
+from gridwave.llm.sampling import by_hash, share_of
 
 from .fixtures import corpus, frame
 
@@ -69,6 +70,72 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert all(0 <= r.score <= 1 for r in rows) and not any(r.predicted for r in held if not r.toxic)
 
 
+def test_toxic_recall_by_language(spark):
+    """Where labels have some dozens of toxic rows a language, held-out ones are found in each."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = op10_toxicity(spark, sf).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    for lang in ("en", "de", "fr", "es"):
+        toxic = [r.predicted for r in rows if r.lang == lang and r.toxic]
+        clean = [r.predicted for r in rows if r.lang == lang and not r.toxic]
+        assert sum(toxic) >= 0.75 * len(toxic) and sum(clean) <= 0.02 * len(clean), lang
+    toxic = [r.predicted for r in rows if r.toxic]
+    assert sum(toxic) >= 0.85 * len(toxic)
+
+
+def test_scores_equal_a_plain_restatement():
+    """Words and stems in hashed slots, the slots of repeated ones, a weight each."""
+    r = random.Random(14)
+    words = ["achlich", "Achlichver", "the", "idiot", "réeuxou", "x", "12", "conversation", "conversations"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 12))).encode() for _ in range(60)]
+    weights = np.random.default_rng(3).normal(size=toxicity.SIZE) * (np.random.default_rng(4).random(toxicity.SIZE) < 0.5)
+
+    def slots(text):
+        seen = []
+        for w in text.split():
+            low = bytes(b + 32 if 65 <= b <= 90 else b for b in w)
+            seen.append(toxicity.Features([low]).slot[0])
+            h = 0x5DEECE66D
+            for j, b in enumerate(low[:7], 1):
+                h = ((h ^ b) * 0x100000001B3) & (2**64 - 1)
+                h ^= h >> 32
+                if j in toxicity.STEMS and len(low) > j:
+                    seen.append(toxicity._slot(toxicity.mix(np.array([h], np.uint64)))[0])
+        once = set(map(int, seen))
+        return once | {int(toxicity._again(np.array([x]))[0]) for x in once if sum(int(y) == x for y in seen) > 1}
+
+    model = toxicity.ToxicityModel(None, CumulativeLink(weights, np.array([0.3])))
+    for t, p in zip(texts, model.scores(texts)):
+        assert np.isclose(p, 1 / (1 + np.exp(0.3 - sum(weights[k] for k in slots(t)))))
+
+
+def test_quality_features_equal_a_plain_restatement():
+    """Mean weights of hashed words, of shapes of three bytes and of repeated words, text by text."""
+    texts = [b"", b"a", b"ab", b"abc", b"The the THE cat", b"x\n", "é ü 12.5 %".encode(), b"one two one two"]
+    rows = list(quality_model.Features(texts).rows())
+    for t, (index, value) in zip(texts, rows):
+        words = t.split()
+        n = len(words)
+        shapes = max(len(t) - 2, 0)
+        assert np.isclose(value[index < 1 << 17].sum(), 3.0 if n else 0) and np.isclose(value[(index >= 1 << 17) & (index < quality_model._REPEATS)].sum(), 4.0 if shapes else 0)
+        low = [w.lower() for w in words]
+        for k, back in enumerate((1, 2)):
+            same = sum(a == b for a, b in zip(low, low[back:]))
+            assert np.isclose(value[index == quality_model._REPEATS + k].sum(), 2.0 * same / max(n, 1))
+        own = list(quality_model.Features([t]).rows())[0]
+        assert index.tolist() == own[0].tolist() and np.allclose(value, own[1])
+
+
+def test_samples_stay_bounded(spark):
+    """A threshold on hashes gives about the rows asked for, and ids that repeat come once."""
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('word', id % 7, ' and more') AS text")
+    docs = docs.union(spark.range(5000).selectExpr("7 AS doc_id", "concat('copy ', id) AS text"))
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "int(id % 2) AS quality", "0 AS toxic")
+    picked = labels.where(by_hash(share_of(1000, 20_000), "doc_id")).count()
+    assert 1000 <= picked <= 1300
+    assert np.isfinite(quality_model.fit(docs, labels, grade(), sample=500).thresholds).all()
+
+
 def test_toxicity_cases(spark):
     r = random.Random(2)
     rows = corpus() + [(1000 + i, "you are such a pathetic idiot and a " + r.choice(("clown", "loser", "moron"))) for i in range(40)]
