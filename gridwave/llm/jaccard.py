@@ -40,10 +40,12 @@ from .words import FOLD, SPACED, Words, shingle_sets
 #: Counters of the frequency sketch, 2 bytes each once summed; a fixed size for any corpus.
 SKETCH_BITS = 23
 _PIECE = 1 << 16  # counters in a row of the sketch
-#: A shingle that one chunk sees in so many documents is aggregated there.
-LOCAL_HOT = 8
+#: A shingle that one chunk of so many bytes sees in so many documents is aggregated there.
+SCAN_BYTES, LOCAL_HOT = 4 << 20, 8
+#: Copies of a piece of the sketch that one task adds up.
+FAN_IN = 64
 #: Prefix entries that one task groups, and shingles in one block of a star.
-ENTRIES_A_TASK, BLOCK_SHINGLES = 2_000_000, 1_500_000
+ENTRIES_A_TASK, BLOCK_SHINGLES = 2_000_000, 4_000_000
 MAX_MATCHES = 24
 #: Each set asks for a match in so many shingles at least; longer prefixes are cheap, fetched sets are not.
 MATCH_EVERY = 16
@@ -83,7 +85,7 @@ class Prefixes:
 
 
 def _scan(batches, text, size):
-    for batch, texts in text_chunks(batches, text):
+    for batch, texts in text_chunks(batches, text, SCAN_BYTES):
         yield batch, shingle_sets(Words(utf8(texts), SPACED, FOLD), size)
 
 
@@ -96,6 +98,7 @@ def _classes(id_, id_type, text, size):
             n = len(sets)
             yield pa.RecordBatch.from_pydict({
                 "id": batch.column(batch.schema.get_field_index(id_)),
+                "h": batch.column(batch.schema.get_field_index("h")),
                 "n": pa.array([len(s) for s in sets], pa.int64()),
                 "c": pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()),
                 "piece": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary()),
@@ -103,7 +106,7 @@ def _classes(id_, id_type, text, size):
         parts = counters.reshape(-1, _PIECE)
         k = len(parts)
         yield pa.RecordBatch.from_pydict({
-            "id": pa.nulls(k, id_type), "n": pa.nulls(k, pa.int64()), "c": pa.nulls(k, pa.int64()),
+            "id": pa.nulls(k, id_type), "h": pa.nulls(k, pa.int64()), "n": pa.nulls(k, pa.int64()), "c": pa.nulls(k, pa.int64()),
             "piece": pa.array(range(k), pa.int32()), "counts": pa.array([_packed(x) for x in parts], pa.binary()),
         })
 
@@ -128,9 +131,14 @@ def _add_pieces(batches):
 
 
 def _read_sketch(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """A fixed number of counters, whatever the corpus, and their sum."""
-    pieces = rows.where("piece IS NOT NULL").select("piece", "counts")
-    summed = pieces.repartition("piece").mapInArrow(_add_pieces, "piece int, counts binary, total long")
+    """A fixed number of counters, whatever the corpus, and their sum; added up in a tree."""
+    pieces = rows.where("piece IS NOT NULL").select("piece", "counts", F.monotonically_increasing_id().alias("at"))
+    copies = pieces.where("piece = 0").count()
+    while copies > FAN_IN:
+        copies = -(-copies // FAN_IN)
+        group = F.pmod(F.xxhash64("at"), F.lit(copies))
+        pieces = pieces.repartition("piece", group).mapInArrow(_add_pieces, "piece int, counts binary, total long").select("piece", "counts", F.monotonically_increasing_id().alias("at"))
+    summed = pieces.select("piece", "counts").repartition("piece").mapInArrow(_add_pieces, "piece int, counts binary, total long")
     out, total = np.zeros(1 << SKETCH_BITS, np.uint32), 0
     for r in summed.toLocalIterator():
         out[r.piece * _PIECE : (r.piece + 1) * _PIECE] = _unpacked(r.counts)
@@ -266,14 +274,14 @@ def _stars_of(batches, rows, parts_):
 def _bloom(ids: DataFrame, n: int) -> np.ndarray:
     """One bit a hash; its size follows the candidates up to 64 MB, beyond that it only lets more through."""
     bits = 1 << max(16, min(29, (16 * n).bit_length()))
-    words = ids.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("b")).select(F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, int(b % 64)) AS m"))
+    words = ids.select(F.pmod("h", F.lit(bits)).alias("b")).select(F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, int(b % 64)) AS m"))
     out = np.zeros(bits >> 6, np.int64)
     got = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     out[got.column("w").to_numpy()] = got.column("m").to_numpy()
     return out
 
 
-def _sets(id_, text, size, bloom):
+def _sets(text, size, bloom):
     def run(batches):
         bits = bloom.value
         seen: set[int] = set()
@@ -281,93 +289,98 @@ def _sets(id_, text, size, bloom):
 
         def wanted():
             for b in batches:
-                h = b.column(b.schema.get_field_index("_h")).to_numpy() & mask
+                h = b.column(b.schema.get_field_index("h")).to_numpy() & mask
                 yield b.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
 
         for b, sets in _scan(wanted(), text, size):
-            ids, keys = b.column(b.schema.get_field_index(id_)), [class_key(s) for s in sets]
-            new = [i for i, x in enumerate(zip(ids.to_pylist(), keys)) if not (x in seen or seen.add(x))]  # a row may be repeated
-            yield pa.RecordBatch.from_pydict({"id": ids.take(pa.array(new, pa.int64())), "c": pa.array([keys[i] for i in new], pa.int64()), "tokens": pa.array([sets[i].tobytes() for i in new], pa.binary())})
+            rows, keys = b.column(b.schema.get_field_index("h")), [class_key(s) for s in sets]
+            new = [i for i, x in enumerate(zip(rows.to_pylist(), keys)) if not (x in seen or seen.add(x))]  # a row may be repeated
+            yield pa.RecordBatch.from_pydict({"h": rows.take(pa.array(new, pa.int64())), "c": pa.array([keys[i] for i in new], pa.int64()), "tokens": pa.array([sets[i].tobytes() for i in new], pa.binary())})
 
     return run
 
 
 class _Forest:
+    """Sets that are known to be linked, directly or not."""
+
     def __init__(self, n):
-        self.label = np.arange(n)
+        self.up = list(range(n))
+
+    def root(self, a):
+        up = self.up
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        return a
+
+    def join(self, a, b) -> bool:
+        """Whether they were apart."""
+        x, y = self.root(a), self.root(b)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
 
-    def join(self, a, b):
-        x, y = self.label[a], self.label[b]
-        if x != y:
-            self.label[self.label == max(x, y)] = min(x, y)
+
+def _ranges(lo, hi):
+    many = hi - lo
+    return np.arange(many.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many)
 
 
 def links_of(sets: list, side: np.ndarray, prefixes: Prefixes, percent: int):
     """A spanning forest of the links among the sets; with two sides, among those between them.
 
-    side: 0 or 1, or 2 where both hold (pairs inside the block count too).
+    side: 0 or 1, or 2 where both hold (pairs inside the block count too). Neighbours in the
+    lists of prefix shingles are compared first, which joins copies to trees. Then each set
+    is compared with all sets of other trees that share enough of its prefix; nothing is
+    looked at inside a tree, so a large group of copies is not paired up.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
-    if n == 2:
-        pre = [prefixes(s) for s in sets]
-        need = min(pre[0][1], pre[1][1])
-        if len(np.intersect1d(pre[0][0], pre[1][0], assume_unique=True)) >= need and _similar(sets[0], sets[1], percent):
-            yield 0, 1
-        return
     pre = [prefixes(s) for s in sets]
     need = np.array([x[1] for x in pre])
-    index = _Postings([x[0] for x in pre])
-    full = None
     forest = _Forest(n)
-    for a in range(n):
-        shared = index.counts(a)
-        ok = shared >= np.minimum(need, need[a])
-        ok &= (forest.label != forest.label[a]) & (100 * np.minimum(sizes, sizes[a]) >= percent * np.maximum(sizes, sizes[a]))
-        ok[: a + 1] = False
-        if side[a] != 2:
-            ok &= side != side[a]
-        found = np.flatnonzero(ok)
-        if len(found) > 4:
-            full = full or _Postings(sets)
-            both = full.counts(a)[found]
-            found = found[100 * both >= percent * (sizes[found] + sizes[a] - both)]
-        else:
-            found = [b for b in found if _similar(sets[a], sets[b], percent)]
-        for b in found:
-            if forest.label[a] != forest.label[b]:
-                forest.join(a, b)
-                yield a, int(b)
+    owner, token = np.repeat(np.arange(n), [len(x[0]) for x in pre]), np.concatenate([x[0] for x in pre])
+    order = np.lexsort((owner, token))
+    owner, token = owner[order], token[order]
+    may = lambda a, b: (100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b])) & ((side[a] != side[b]) | (side[a] == 2))
+
+    beside = np.flatnonzero(token[1:] == token[:-1])
+    pairs, shared = np.unique(owner[beside] * n + owner[beside + 1], return_counts=True)
+    a, b = pairs // n, pairs % n
+    likely = np.flatnonzero(may(a, b) & (2 * shared >= np.minimum(need[a], need[b])))
+    for k in likely[np.argsort(-shared[likely], kind="stable")]:
+        x, y = int(a[k]), int(b[k])
+        if forest.root(x) != forest.root(y) and _similar(sets[x], sets[y], percent):
+            forest.join(x, y)
+            yield x, y
+
+    tree = np.array([forest.root(x) for x in range(n)])[owner]
+    order = np.lexsort((owner, tree, token))
+    owner, token, tree = owner[order], token[order], tree[order]
+    new = np.concatenate(([True], token[1:] != token[:-1]))
+    fresh = new | np.concatenate(([True], tree[1:] != tree[:-1]))
+    bounds = lambda first: (np.maximum.accumulate(np.where(first, np.arange(len(first)), 0)), np.append(np.flatnonzero(first), len(first))[np.cumsum(first)])
+    (begin, end), (own_begin, own_end) = bounds(new), bounds(fresh)
+    mixed = np.flatnonzero((begin < own_begin) | (own_end < end))  # entries with another tree in their list
+    mixed = mixed[np.argsort(owner[mixed], kind="stable")]
+    if not len(mixed):
+        return
+    for at in np.split(mixed, np.flatnonzero(owner[mixed][1:] != owner[mixed][:-1]) + 1):
+        x = int(owner[at[0]])
+        others = owner[np.concatenate((_ranges(begin[at], own_begin[at]), _ranges(own_end[at], end[at])))]
+        found, shared = np.unique(others[others > x], return_counts=True)
+        found = found[(shared >= np.minimum(need[found], need[x])) & may(found, x)]
+        for y in map(int, found):
+            if forest.root(x) != forest.root(y) and _similar(sets[x], sets[y], percent):
+                forest.join(x, y)
+                yield x, y
 
 
 def _similar(x, y, percent):
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-class _Postings:
-    """For each set, how many elements it shares with every other one."""
-
-    def __init__(self, sets):
-        self.n = len(sets)
-        owner = np.repeat(np.arange(self.n), [len(s) for s in sets])
-        values, which = np.unique(np.concatenate(sets), return_inverse=True)
-        order = np.argsort(which, kind="stable")
-        self.owner = owner[order]
-        self.begin = np.concatenate(([0], np.cumsum(np.bincount(which, minlength=len(values)))))
-        cut = np.cumsum([len(s) for s in sets])[:-1]
-        self.ids = np.split(which, cut)
-
-    def counts(self, a):
-        ids = self.ids[a]
-        begin, many = self.begin[ids], self.begin[ids + 1] - self.begin[ids]
-        ids, begin, many = ids[many > 1], begin[many > 1], many[many > 1]
-        if not len(ids):
-            return np.zeros(self.n, np.int64)
-        at = np.arange(many.sum()) + np.repeat(begin - np.concatenate(([0], np.cumsum(many)[:-1])), many)
-        return np.bincount(self.owner[at], minlength=self.n)
-
-
 def _verify(prefixes, percent):
     """Rows of a partition stand sorted by star and blocks; only one group is held at a time."""
 
@@ -392,6 +405,8 @@ def _verify(prefixes, percent):
                 if (lead, i, j) != key:
                     close()
                     key, cs, sets, sides = (lead, i, j), [], [], []
+                if cs and cs[-1] == c:  # rows without an id may be repeated
+                    continue
                 cs.append(c)
                 sets.append(np.frombuffer(tokens, np.uint64))
                 sides.append(side)
@@ -411,22 +426,25 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     (id_col, n_shingles, component_id): the smallest id that links reach, itself included.
 
     A null or wordless text has an empty set (0 shingles), links with nothing and is its
-    own component. A row with a null id never names a component and finds links only
-    through equal sets; alone, its component is null. Repeated ids give a row each. Empty
-    input gives no rows. Other columns are ignored, whatever their names.
+    own component. A row with a null id links like others but never names a component; one
+    of rows without ids alone is null. Repeated ids give a row each; a tie in similarity (just
+    the threshold) links. A text of any length is read whole, in memory in proportion to it.
+    Empty input gives no rows. Other columns are ignored, whatever their names.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     store = Scratch(spark, "jaccard")
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    id_, text = F.col(id_col), F.col(text_col).cast("string")
+    # h: the key by which a row is fetched again
+    docs = df.select(id_.alias("id"), text.alias("text"), F.when(id_.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(id_)).alias("h"))
     id_type = docs.schema["id"].dataType.simpleString()
-    rows = store.table(docs.mapInArrow(_classes("id", to_arrow_type(docs.schema["id"].dataType), "text", words), f"id {id_type}, n long, c long, piece int, counts binary"), "classes")
-    slim = rows.where("piece IS NULL").select("id", "n", "c")
-    edges = _edges(spark, sc, store, docs, rows, slim, id_type, words, percent)
+    rows = store.table(docs.mapInArrow(_classes("id", to_arrow_type(docs.schema["id"].dataType), "text", words), f"id {id_type}, h long, n long, c long, piece int, counts binary"), "classes")
+    slim = rows.where("piece IS NULL").select("id", "h", "n", "c")
+    edges = _edges(spark, sc, store, docs, rows, slim, words, percent)
     return _assemble(store, slim, edges, id_col)
 
 
-def _edges(spark: SparkSession, sc, store, docs, rows, slim, id_type, words, percent) -> DataFrame:
+def _edges(spark: SparkSession, sc, store, docs, rows, slim, words, percent) -> DataFrame:
     sketch, total = _read_sketch(rows)
     prefixes = sc.broadcast(Prefixes(sketch, percent))
     entries = total * (100 - percent) // 100
@@ -438,28 +456,28 @@ def _edges(spark: SparkSession, sc, store, docs, rows, slim, id_type, words, per
     hot = starred.where("kind = 'h'").groupBy("via", "lead").agg(F.sum("k").alias("kh"))
     members = starred.where("kind = 'm'").select("via", "c", "k").join(hot, "via").select("lead", "c", F.least("k", "kh").alias("k"))
     held = starred.where("kind = 's'").select("lead", "c", "k").union(members).groupBy("lead", "c").agg(F.sum("k").alias("k"))
-    classes = slim.where("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("id"), F.min("n").alias("n"))
+    classes = slim.where("c IS NOT NULL").groupBy("c").agg(F.min("h").alias("h"), F.min("n").alias("n"))
     # A pair shares m shingles at least, in stars that both are in. If either leaves its
     # stars of fewest shingles, up to (m - 1) / 2 of them, one that holds both remains.
     m = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / MATCH_EVERY))
     rising = Window.partitionBy("c").orderBy("k", "lead").rowsBetween(Window.unboundedPreceding, 0)
     held = held.join(classes, "c").withColumn("upto", F.sum("k").over(rising)).where(F.col("upto") > F.floor((m - 1) / 2))
-    held = store.table(held.select("lead", "c", "id", "n"), "held")
+    held = store.table(held.select("lead", "c", "h", "n"), "held")
     store.drop("stars")
     weight = held.groupBy("lead").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES))).cast("int").alias("k"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    star = store.table(held.join(weight, "lead").select("lead", "c", "id", "k"), "star")
-    wanted = star.select("id").distinct()
+    star = store.table(held.join(weight, "lead").select("lead", "c", "h", "k"), "star")
+    wanted = star.select("h").distinct()
     n = wanted.count()
     bloom = sc.broadcast(_bloom(wanted, n))
-    sets = docs.select("id", "text", F.xxhash64("id").alias("_h")).mapInArrow(_sets("id", "text", words, bloom), f"id {id_type}, c long, tokens binary")
+    sets = docs.select("h", "text").mapInArrow(_sets("text", words, bloom), "h long, c long, tokens binary")
     placed = star.withColumn("own", F.pmod(F.xxhash64("c"), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    blocks = placed.select("lead", "c", "id", "own", other.alias("o")).select(
+    blocks = placed.select("lead", "c", "h", "own", other.alias("o")).select(
         "lead", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"),
-        F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1).alias("side"), "c", "id",
+        F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1).alias("side"), "c", "h",
     )
     # the pairs inside a block are found where i = j; elsewhere only those between two blocks
-    work = blocks.join(sets, ["c", "id"]).select("lead", "i", "j", "side", "c", "tokens").repartition(parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+    work = blocks.join(sets, ["c", "h"]).select("lead", "i", "j", "side", "c", "tokens").repartition(parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j", "c")
     return store.table(work.mapInArrow(_verify(prefixes, percent), "a long, b long"), "edges")
 
 
