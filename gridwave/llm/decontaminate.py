@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import text_chunks, utf8, with_columns
+from .batches import map_texts, text_chunks, utf8, with_columns
 from .words import ALNUM, FOLD, Words, pieces_of
 
 #: Text of items in a block, of documents in a shard, and item names in a batch of results.
@@ -285,7 +285,7 @@ def benchmark_overlap(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
             for a, b in pieces_of(texts, map(len, found.names), BATCH_NAMES):
                 yield out.slice(a, b - a)
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, {SCHEMA}").withColumnRenamed("id", id_col)
+    return map_texts(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, {SCHEMA}").withColumnRenamed("id", id_col)
 
 
 def remove_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
@@ -300,4 +300,4 @@ def remove_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "te
         for batch, texts in text_chunks(batches, text_col, SHARD_BYTES):
             yield with_columns(batch, names, {}).filter(pa.array(_overlap(texts, blocks).hits == 0))
 
-    return df.mapInArrow(run, df.schema)
+    return map_texts(df, run, df.schema)

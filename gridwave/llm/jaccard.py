@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .batches import text_chunks, utf8
+from .batches import map_texts, text_chunks, utf8
 from .components import components
 from .store import Scratch
 from .words import FOLD, SPACED, Words, shingle_sets
@@ -438,7 +438,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # h: the key by which a row is fetched again
     docs = df.select(id_.alias("id"), text.alias("text"), F.when(id_.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(id_)).alias("h"))
     id_type = docs.schema["id"].dataType.simpleString()
-    rows = store.table(docs.mapInArrow(_classes("id", to_arrow_type(docs.schema["id"].dataType), "text", words), f"id {id_type}, h long, n long, c long, piece int, counts binary"), "classes")
+    rows = store.table(map_texts(docs, _classes("id", to_arrow_type(docs.schema["id"].dataType), "text", words), f"id {id_type}, h long, n long, c long, piece int, counts binary"), "classes")
     slim = rows.where("piece IS NULL").select("id", "h", "n", "c")
     edges = _edges(spark, sc, store, docs, rows, slim, words, percent)
     return _assemble(store, slim, edges, id_col)
@@ -449,7 +449,7 @@ def _edges(spark: SparkSession, sc, store, docs, rows, slim, words, percent) ->
     prefixes = sc.broadcast(Prefixes(sketch, percent))
     entries = total * (100 - percent) // 100
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // ENTRIES_A_TASK)
-    posted = docs.select("text").mapInArrow(_post("text", words, prefixes, parts), "p int, blob binary, via long, c long, k long")
+    posted = map_texts(docs.select("text"), _post("text", words, prefixes, parts), "p int, blob binary, via long, c long, k long")
     entries_by_star = posted.repartition(parts, "p").mapInArrow(_stars(parts), _STAR_COLUMNS)
     starred = store.table(entries_by_star.repartition(parts, "q").mapInArrow(_merge_stars, _STAR_COLUMNS).select("kind", "via", "lead", "c", "k"), "stars")
     # k is a bound where a class came via another one: of its shingles, or of the other's
@@ -469,7 +469,7 @@ def _edges(spark: SparkSession, sc, store, docs, rows, slim, words, percent) ->
     wanted = star.select("h").distinct()
     n = wanted.count()
     bloom = sc.broadcast(_bloom(wanted, n))
-    sets = docs.select("h", "text").mapInArrow(_sets("text", words, bloom), "h long, c long, tokens binary")
+    sets = map_texts(docs.select("h", "text"), _sets("text", words, bloom), "h long, c long, tokens binary")
     placed = star.withColumn("own", F.pmod(F.xxhash64("c"), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     blocks = placed.select("lead", "c", "h", "own", other.alias("o")).select(

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import text_chunks
+from .batches import map_texts, text_chunks
 from .bpe import encoder
 from .ranks import with_rank
 from .store import Scratch
@@ -72,7 +72,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, (head if head and s == 0 else capacity)) for s in starts]
 
 
-PIECES = "piece int, start long, length long, ids_crc32 long, ids array<int>"
+PIECES = "piece int, start long, length long, ids_crc32 long, ids binary"
 
 
 def token_pieces(df: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -91,18 +91,17 @@ def token_pieces(df: DataFrame, vocabulary: str, capacity: int, end_id: int, id_
                     rows.append((k, s, n, zlib.crc32(ids[s : s + n].tobytes())))
                     parts.append(ids[s : s + n])
             piece, start, length, crc = (np.array(c, np.int64) for c in zip(*rows))
-            listed = pa.nulls(len(rows), pa.list_(pa.int32()))
-            if with_ids:
-                listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(length))), pa.int32()), pa.array(np.concatenate(parts).view(np.int32)))
+            listed = pa.array([p.tobytes() for p in parts] if with_ids else [None] * len(parts), pa.binary())
             yield pa.RecordBatch.from_pydict({
                 "id": batch.column(0).take(pa.array(owner, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start), "length": pa.array(length), "ids_crc32": pa.array(crc), "ids": listed,
             })
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, schema)
 
 
 def best_fit_packing(df: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(id_col, piece, start, length, ids_crc32, sequence_id, offset) per piece; ids too if asked for.
+    """(id_col, piece, start, length, ids_crc32, sequence_id, offset) per piece; if asked for, ids too:
+    little-endian unsigned 32-bit numbers in a row, as numpy.frombuffer(ids, "<u4") reads them.
 
     Every document ends with end_id, so a null or empty text is one piece of one id. Null
     or repeated ids are packed like others, each row on its own, ties in length in the

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import text_chunks
+from .batches import map_texts, text_chunks
 from .boosting import BoostedTrees
 from .store import Scratch
 
@@ -298,7 +298,7 @@ def fit(df: DataFrame, text_col: str = "text", contexts: int = CONTEXTS) -> Sele
     """
     docs = df.select(F.col(text_col).cast("string").alias("text"))
     store = Scratch(df.sparkSession, "pii")
-    table = store.table(docs.mapInArrow(_contexts(max(1, docs.count() // contexts)), _CONTEXT).distinct(), "contexts")
+    table = store.table(map_texts(docs, _contexts(max(1, docs.count() // contexts)), _CONTEXT).distinct(), "contexts")
     sorts = table.groupBy("kind", "label").count().collect()  # kinds x labels
     least = F.lit(None).cast("long")
     for r in sorts:
@@ -348,4 +348,4 @@ def pii_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sele
             yield pa.RecordBatch.from_pydict({"id": batch.column(0)} | dict(zip(("base", "spans", "candidates"), columns)))
 
     span = "kind:string,start:long,end:long"
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, base array<struct<{span}>>, spans array<struct<{span}>>, candidates array<struct<{span},score:double,selected:boolean>>").withColumnRenamed("id", id_col)
+    return map_texts(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, base array<struct<{span}>>, spans array<struct<{span}>>, candidates array<struct<{span},score:double,selected:boolean>>").withColumnRenamed("id", id_col)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import text_chunks, utf8, with_columns
+from .batches import map_texts, text_chunks, utf8, with_columns
 from .linear import CumulativeLink, Rows
 from .sampling import by_hash, share_of
 from .words import FOLD, SPACED, Words
@@ -88,7 +88,7 @@ def fit(df: DataFrame, ratings: DataFrame, grade: Column, id_col: str = "doc_id"
             got = list(Features(utf8(texts)).rows())
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "grade": batch.column(2), "index": pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), "value": pa.array([v.astype("<f4").tobytes() for _, v in got], pa.binary())})
 
-    found = docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, grade int, index binary, value binary")
+    found = map_texts(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, grade int, index binary, value binary")
     found = found.groupBy("id").agg(F.min(F.struct("index", "value", "grade")).alias("row")).select(F.xxhash64("id").alias("h"), "row.*")
     rows = sorted(found.toArrow().to_pylist(), key=lambda r: (r["h"] & (2**64 - 1), r["index"]))[:sample]
     if not rows:
@@ -120,7 +120,7 @@ def quality_scores(df: DataFrame, model: CumulativeLink, id_col: str = "doc_id",
             grade, p = _judged(shared.value, texts, least)
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "expected_grade": pa.array(grade), "p_selected": pa.array(p), "selected": pa.array(p >= threshold)})
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, expected_grade double, p_selected double, selected boolean").withColumnRenamed("id", id_col)
+    return map_texts(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, expected_grade double, p_selected double, selected boolean").withColumnRenamed("id", id_col)
 
 
 def select_quality(df: DataFrame, model: CumulativeLink, text_col: str = "text", least: int = 1, threshold: float = 0.5) -> DataFrame:
@@ -134,4 +134,4 @@ def select_quality(df: DataFrame, model: CumulativeLink, text_col: str = "text",
         for batch, texts in text_chunks(batches, text_col):
             yield with_columns(batch, names, {}).filter(pa.array(_judged(shared.value, texts, least)[1] >= threshold))
 
-    return df.mapInArrow(run, df.schema)
+    return map_texts(df, run, df.schema)

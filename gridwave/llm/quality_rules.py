@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import text_chunks, utf8
+from .batches import map_texts, text_chunks, utf8
 from .words import SPACED, Words, windows
 
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -143,4 +143,4 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch, texts in text_chunks(batches, "text"):
             yield pa.RecordBatch.from_pydict({"id": batch.column(0)} | judge(texts, bands))
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, {SCHEMA}").withColumnRenamed("id", id_col)
+    return map_texts(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, {SCHEMA}").withColumnRenamed("id", id_col)

@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import text_chunks
+from .batches import map_texts, text_chunks
 
 # fixed values: the patterns of the base kinds
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -199,7 +199,7 @@ def secret_scan(df: DataFrame, test: TokenTest, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_pydict({"id": batch.column(0)} | dict(zip(("base", "spans", "tested"), columns)))
 
     spans = "array<struct<kind:string,start:long,end:long>>"
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, base {spans}, spans {spans}, tested array<struct<start:long,end:long,ratio:double,verdict:string>>").withColumnRenamed("id", id_col)
+    return map_texts(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, base {spans}, spans {spans}, tested array<struct<start:long,end:long,ratio:double,verdict:string>>").withColumnRenamed("id", id_col)
 
 
 def redact(text: str, spans: list, mark: str = "[SECRET]") -> str:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import as_bytes
+from .batches import as_bytes, map_texts
 
 
 class MatchCounter:
@@ -119,4 +119,4 @@ def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             got = [count(t or b"") for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_words": pa.array([w for w, _ in got], pa.int64()), "n_tokens": pa.array([n for _, n in got], pa.int64())})
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n_words long, n_tokens long").withColumnRenamed("id", id_col)
+    return map_texts(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, n_words long, n_tokens long").withColumnRenamed("id", id_col)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import text_chunks, utf8
+from .batches import map_texts, text_chunks, utf8
 from .linear import CumulativeLink, Rows
 from .sampling import by_hash, share_of
 from .store import Scratch
@@ -272,7 +272,7 @@ def _moments(store: Scratch, docs: DataFrame, mined: np.ndarray, plain: float, v
                 n, both = n + k, both + np.frombuffer(x, "<i8").reshape(v, v)
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "both": pa.array([both.astype("<i8").tobytes()], pa.binary())})
 
-    found = store.table(docs.select("text", F.xxhash64("id", "text").alias("h")).mapInArrow(count, _ROWS), "counts")
+    found = store.table(map_texts(docs.select("text", F.xxhash64("id", "text").alias("h")), count, _ROWS), "counts")
     n, both = 0, np.zeros((v, v))
     for r in found.where("n IS NOT NULL").select("n", "both").repartition(_SUMS).mapInArrow(add, "n long, both binary").toLocalIterator():
         n, both = n + r.n, both + np.frombuffer(r.both, "<i8").reshape(v, v)
@@ -300,7 +300,7 @@ def _labelled(docs: DataFrame, known: DataFrame) -> list[dict]:
             z = f.votes(np.empty(0, np.int64))
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "slots": pa.array([s.astype("<i4").tobytes() for s in f.by_text()], pa.binary()), "votes": pa.array([np.packbits(x).tobytes() for x in z], pa.binary()), "toxic": batch.column(2)})
 
-    found = docs.join(F.broadcast(known), "id").select("id", "text", "toxic").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, slots binary, votes binary, toxic int")
+    found = map_texts(docs.join(F.broadcast(known), "id").select("id", "text", "toxic"), run, f"id {docs.schema['id'].dataType.simpleString()}, slots binary, votes binary, toxic int")
     rows = found.groupBy("id").agg(F.min(F.struct("slots", "votes", "toxic")).alias("row")).select("row.*")
     return sorted(rows.toArrow().to_pylist(), key=lambda r: (r["slots"], r["votes"], r["toxic"]))
 
@@ -373,4 +373,4 @@ def toxicity_scores(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
         for batch, texts in text_chunks(batches, "text"):
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "score": pa.array(shared.value.scores(utf8(texts)))})
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+    return map_texts(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
