@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwave.llm import decontaminate, quality_model, secrets
-from gridwave.llm.batches import text_chunks
+from gridwave.llm.batches import map_texts, text_chunks
 from gridwave.llm.jaccard import ngram_jaccard_join
 from gridwave.llm.packing import best_fit_packing
 from gridwave.llm.queries import grade, token_test, vocabulary
@@ -64,7 +64,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
                     cols["n_chars"] = pa.compute.if_else(changed, pa.array([len(t) if t is not None else None for t in new], cols["n_chars"].type), cols["n_chars"])
             yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
