@@ -124,51 +124,65 @@ def _image_columns(rows: list[tuple]) -> dict:
     return {n: pa.array(c, k) for (n, k), c in zip(_IMAGE_KINDS, list(zip(*rows)) or [()] * len(_IMAGE_KINDS))}
 
 
-def decode(df: DataFrame, content: str = "content", mode: str = "PERMISSIVE", strategy: str = "auto", key: list[str] | None = None) -> DataFrame:
-    """Images of the codestreams in a binary column, next to the other columns of df.
+def decode(df: DataFrame, content: str = "content", mode: str = "PERMISSIVE", strategy: str = "auto") -> DataFrame:
+    """Images of the codestreams in a binary column, next to the other columns of df, one for each row.
 
     strategy "fused": one row in, one out, no shuffle; best for many small grids.
     "exploded": code-blocks are dealt out and decoded apart, then a grid's blocks meet
-    again by `key` (columns that name a row); best for few large grids. "auto" looks at
-    the declared sizes. A null content is a Codestream fault.
+    again by a digest of its bytes, so rows need no key and equal streams give equal
+    images; best for few large grids. "auto" looks at the declared sizes. A null content is
+    a Codestream fault. FAILFAST raises whichever columns are selected. Columns of df that
+    are named like those of the image are replaced by them.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     if strategy == "auto":
-        strategy = choose(df, content) if key else "fused"
-    out = _exploded(df, content, key) if strategy == "exploded" else _fused(df, content)
-    if mode == "DROPMALFORMED":
-        return out.where("error IS NULL")
-    if mode == "FAILFAST":
-        bad = F.raise_error(F.concat_ws(": ", F.lit("malformed codestream"), F.col("error.kind"), F.col("error.message")))
-        return out.withColumn("error", F.when(F.col("error").isNotNull(), bad.cast(FAULT)).otherwise(F.col("error")))
-    return out
+        strategy = choose(df, content)
+    out = (_exploded if strategy == "exploded" else _fused)(df, content, mode == "FAILFAST")
+    return out.where("error IS NULL") if mode == "DROPMALFORMED" else out
 
 
-def _fused(df: DataFrame, content: str) -> DataFrame:
+def _failed(e: Exception, strict: bool) -> tuple:
+    fault = _fault(e)
+    if strict:
+        raise ValueError(f"malformed codestream: {fault['kind']}: {fault['message']}") from e
+    return None, None, None, None, None, fault
+
+
+class _Lost(Exception):
+    """Not a fault of the stream."""
+
+
+#: Bytes of samples in a batch of images; a larger image is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def _fused(df: DataFrame, content: str, strict: bool = False) -> DataFrame:
     names, kept = _columns(df, content, tuple(n for n, _ in _IMAGE_KINDS))
 
     def run(batches):
         for batch in batches:
-            data = batch.column(batch.schema.get_field_index(content)).to_pylist()
-            for i, x in enumerate(data):  # one image a batch: a large grid fills memory alone
+            rows, begin, size = [], 0, 0
+            for i in range(batch.num_rows):
+                x = batch.column(batch.schema.get_field_index(content))[i].as_py()
                 try:
                     if x is None:
                         raise Fault("Codestream", "no bytes")
-                    row = _image(*grid.decode(x))
+                    rows.append(_image(*grid.decode(x)))
                 except Exception as e:
-                    row = (None, None, None, None, None, _fault(e))
-                one = batch.slice(i, 1)
-                yield pa.RecordBatch.from_pydict(_kept(one, names) | _image_columns([row]))
+                    rows.append(_failed(e, strict))
+                size += 4 * len(rows[-1][4]) if rows[-1][4] is not None else 0
+                if size >= BATCH_BYTES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_pydict(_kept(batch.slice(begin, len(rows)), names) | _image_columns(rows))
+                    rows, begin, size = [], i + 1, 0
 
     return df.select(*names, content).mapInArrow(run, kept + IMAGE)
 
 
-def _exploded(df: DataFrame, content: str, key: list[str] | None) -> DataFrame:
-    if not key:
-        raise ValueError("the exploded strategy needs the key columns of a row")
-    blocks = code_blocks(df.select(*key, content), content)
-    names, kept = key, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*key).schema)
+def _exploded(df: DataFrame, content: str, strict: bool = False) -> DataFrame:
+    stream, found = "_gridwave_stream", "_gridwave_blocks"
+    digest = F.sha2(F.col(content), 256)
+    blocks = code_blocks(df.where(F.col(content).isNotNull()).select(digest.alias(stream), F.col(content).alias("content")))
 
     def entropy(batches):
         for b in batches:
@@ -178,40 +192,45 @@ def _exploded(df: DataFrame, content: str, key: list[str] | None) -> DataFrame:
                     out.append(None)
                 else:
                     out.append(grid.decode_block(seg, w, h, kind, planes, zero, passes).ravel().astype("<i4").tobytes())
-            yield pa.RecordBatch.from_pydict(_kept(b, [*names, "band_idx", "x", "y", "w", "h", "planes", "zero_bit_planes"]) | {"q": pa.array(out, pa.binary())})
+            yield pa.RecordBatch.from_pydict(_kept(b, [stream, "band_idx", "block_idx", "x", "y", "w", "h"]) | {"q": pa.array(out, pa.binary())})
 
     parts = df.sparkSession.sparkContext.defaultParallelism
-    spread = blocks.repartition(parts, *key, "band_idx", "block_idx")
-    q = spread.mapInArrow(entropy, kept + "band_idx int, x int, y int, w int, h int, planes int, zero_bit_planes int, q binary")
-    place = F.collect_list(F.struct("band_idx", "x", "y", "w", "h", "planes", "zero_bit_planes", "q")).alias("_blocks")
-    whole = df.join(q.groupBy(*key).agg(place), key, "left")
-    others, kept_all = _columns(whole, content, (*(n for n, _ in _IMAGE_KINDS), "_blocks"))
+    spread = blocks.repartition(parts, stream, "band_idx", "block_idx")
+    q = spread.mapInArrow(entropy, f"{stream} string, band_idx int, block_idx int, x int, y int, w int, h int, q binary")
+    # equal streams in several rows give each block once more; one of them is enough
+    q = q.groupBy(stream, "band_idx", "block_idx").agg(F.first(F.struct("band_idx", "x", "y", "w", "h", "q")).alias("_b"))
+    images = q.groupBy(stream).agg(F.collect_list("_b").alias(found))
+    whole = df.withColumn(stream, digest).join(images, stream, "left").drop(stream)
+    others, kept_all = _columns(whole, content, (*(n for n, _ in _IMAGE_KINDS), found))
 
     def gather(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                row, found = (one.column(one.schema.get_field_index(n))[0].as_py() for n in (content, "_blocks"))
+                row, own = (one.column(one.schema.get_field_index(n))[0].as_py() for n in (content, found))
                 try:
                     if row is None:
                         raise Fault("Codestream", "no bytes")
-                    head, bands, _ = _packets(row)
+                    head, bands, blocks = _packets(row)
                     values = [np.zeros((b.h, b.w), np.int64) for b in bands]
                     for b in bands:
                         grid.bit_planes(head.qcd, b.index)
-                    for b in found or []:
-                        if b["band_idx"] is None:
-                            continue
+                    own = [b for b in own or [] if b["band_idx"] is not None]
+                    if len(own) != sum(b.passes > 0 for b in blocks):
+                        raise _Lost("code-blocks are missing")
+                    for b in own:
                         if b["q"] is None:
                             raise Fault("Unsupported", "bit-planes")
                         values[b["band_idx"]][b["y"] : b["y"] + b["h"], b["x"] : b["x"] + b["w"]] = np.frombuffer(b["q"], "<i4").reshape(b["h"], b["w"])
                     samples = grid.assemble(head, grid.reconstruct(grid.dequantize(head, bands, values), head.cod["transform"]))
                     image = _image(head, samples)
+                except _Lost:
+                    raise
                 except Exception as e:
-                    image = (None, None, None, None, None, _fault(e))
+                    image = _failed(e, strict)
                 yield pa.RecordBatch.from_pydict(_kept(one, others) | _image_columns([image]))
 
-    return whole.select(*others, content, "_blocks").mapInArrow(gather, kept_all + IMAGE)
+    return whole.select(*others, content, found).mapInArrow(gather, kept_all + IMAGE)
 
 
 def images_to_samples(images: DataFrame) -> DataFrame:

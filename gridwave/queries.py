@@ -17,6 +17,10 @@ from .codec.bits import BitReader, TagTree, read_passes
 from .functions import bit_planes, ceil_div, component_size, dequantized, geometry_fault, level_shift, mirror, sample_at, siz_fields, subband_step, unpack_step
 from .operators import block_grid, code_blocks, compare, decode, errors, forward_53, images_to_samples, inverse_53, inverse_97, merge_level, subbands, with_headers
 from .operators.grading import classify
+from .sources.conformance import BOUNDS, check_entries, conformance_bounds, conformance_manifest
+from .sources.files import read_fixtures, shared_folder, write_files
+from .sources.pgx import pgm_images, to_pgm
+from .sources.snapshot import read_snapshots, to_snapshots
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -356,10 +360,22 @@ def sc_context_table(spark, sf_dir):
     return _in_tasks(spark, [r[:2] for r in _SC], "h int, v int", lambda r: [(r["h"], r["v"], *blocks.sign_context(r["h"], r["v"]))], "h int, v int, context int, flip int")
 
 
-@_query(_values([(i, *s) for i, s in enumerate(mq.STATES)], "state, qe, next_mps, next_lps, switch") + " WHERE next_mps <= 46 AND next_lps <= 46 AND qe BETWEEN 1 AND 22017")
+# fixed values: the standard's table of states in decimal numbers
+@_query("""
+SELECT * FROM (VALUES
+  (0, 22017, 1, 1, 1), (1, 13313, 2, 6, 0), (2, 6145, 3, 9, 0), (3, 2753, 4, 12, 0), (4, 1313, 5, 29, 0), (5, 545, 38, 33, 0),
+  (6, 22017, 7, 6, 1), (7, 21505, 8, 14, 0), (8, 18433, 9, 14, 0), (9, 14337, 10, 14, 0), (10, 12289, 11, 17, 0), (11, 9217, 12, 18, 0),
+  (12, 7169, 13, 20, 0), (13, 5633, 29, 21, 0), (14, 22017, 15, 14, 1), (15, 21505, 16, 14, 0), (16, 20737, 17, 15, 0), (17, 18433, 18, 16, 0),
+  (18, 14337, 19, 17, 0), (19, 13313, 20, 18, 0), (20, 12289, 21, 19, 0), (21, 10241, 22, 19, 0), (22, 9217, 23, 20, 0), (23, 8705, 24, 21, 0),
+  (24, 7169, 25, 22, 0), (25, 6145, 26, 23, 0), (26, 5633, 27, 24, 0), (27, 5121, 28, 25, 0), (28, 4609, 29, 26, 0), (29, 4353, 30, 27, 0),
+  (30, 2753, 31, 28, 0), (31, 2497, 32, 29, 0), (32, 2209, 33, 30, 0), (33, 1313, 34, 31, 0), (34, 1089, 35, 32, 0), (35, 673, 36, 33, 0),
+  (36, 545, 37, 34, 0), (37, 321, 38, 35, 0), (38, 273, 39, 36, 0), (39, 133, 40, 37, 0), (40, 73, 41, 38, 0), (41, 37, 42, 39, 0),
+  (42, 21, 43, 40, 0), (43, 9, 44, 41, 0), (44, 5, 45, 42, 0), (45, 1, 45, 43, 0), (46, 22017, 46, 46, 0)
+) AS t(state, qe, next_mps, next_lps, switch)""")
 def mq_state_table(spark, sf_dir):
-    """The 47 states."""
-    return spark.createDataFrame([(i, *s) for i, s in enumerate(mq.STATES)], "state int, qe int, next_mps int, next_lps int, switch int")
+    """The 47 states, read back from the moves that the decoder makes."""
+    moves = [(i, *mq._MOVES[2 * i], mq._MOVES[2 * i][2]) for i in range(len(mq._MOVES) // 2)]
+    return spark.createDataFrame([(i, q, mps // 2, lps // 2, lps % 2) for i, q, mps, lps, _ in moves], "state int, qe int, next_mps int, next_lps int, switch int")
 
 
 # fixed values: Table B.4, bits and passes
@@ -532,7 +548,7 @@ def roundtrip_53_pyramid(spark, sf_dir):
 def roundtrip_53_exploded(spark, sf_dir):
     """The same with small code-blocks that are decoded apart and gathered again."""
     streams = encode_tiles(_event_tiles(spark, sf_dir), "g", 32, 32, depth=12, levels=2, xcb=1, ycb=2)
-    return images_to_samples(decode(streams, strategy="exploded", key=["g"])).select("g", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("value").cast("long").alias("value"))
+    return images_to_samples(decode(streams, strategy="exploded")).select("g", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("value").cast("long").alias("value"))
 
 
 @_query("SELECT g, count(*) AS n, true AS within FROM (" + _EVENT_TILES + ") GROUP BY g")
@@ -575,24 +591,148 @@ def pgx_read(spark, sf_dir):
 @_query(_GOLDEN_SAMPLES)
 def decode_stream_micro_batch(spark, sf_dir):
     """The golden streams as arriving files, decoded by a streaming query."""
-    import tempfile
-    import uuid
-
     from .streaming import decode_arrivals
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridwave-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for n, *_ in vectors.GOLDEN_BLOCKS:
-        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/in/{n}.j2k"))
-        out.write(bytearray(vectors.wrapped(n)))
-        out.close()
+    base = shared_folder(spark, "stream")
+    write_files(spark, f"{base}/in", {f"{n}.j2k": vectors.wrapped(n) for n, *_ in vectors.GOLDEN_BLOCKS})
     stream = decode_arrivals(spark, f"{base}/in").writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
     stream.awaitTermination()
     images = spark.read.parquet(f"{base}/out").withColumn("name", F.regexp_extract("path", r"([^/]+)\.j2k$", 1))
     return images_to_samples(images.drop("path", "modificationTime", "length")).select("name", "x", "y", "value")
 
 
-def entry(spark: SparkSession) -> DataFrame:
+@_query(f"SELECT copy, x, y, value FROM ({_GOLDEN_SAMPLES}) g, (VALUES (0), (1), (2)) AS c(copy)")
+def decode_repeated_rows(spark, sf_dir):
+    """Streams in several rows, without a name or with one name, decoded apart: an image for each."""
+    streams = golden_streams(spark).select(F.lit(None).cast("string").alias("name"), "content")
+    rows = streams.withColumn("copy", F.lit(0)).union(streams.withColumn("copy", F.lit(1))).union(streams.select(F.lit("same").alias("name"), "content", F.lit(2).alias("copy")))
+    # names that code-blocks have, too
+    clash = rows.withColumn("w", F.lit("w")).withColumn("band_idx", F.lit(7))
+    return images_to_samples(decode(clash, strategy="exploded")).select("copy", "x", "y", "value")
+
+
+# corpora, snapshots and files
+
+
+def _u(value, n: int):
+    return F.lpad(F.hex(value.cast("long")), 2 * n, "0")
+
+
+def _corpus(spark, sf_dir) -> DataFrame:
+    """Main headers from `nation`: profile 0 for the first 16, then profile 1."""
+    n, c = F.col("n_nationkey"), F.col("n_regionkey") + 4
+    siz = F.concat(
+        F.lit("ff51"), _u(38 + 3 * c, 2), F.lit("0000"), _u(100 + 13 * n, 4), _u(80 + 7 * n, 4), F.lit("0" * 16), _u(F.lit(64), 4), _u(F.lit(32), 4), F.lit("0" * 16), _u(c, 2),
+        F.array_join(F.array_repeat(F.concat(_u(7 + n % 5, 1), F.lit("0101")), c.cast("int")), ""),
+    )
+    cod = F.concat(F.lit("ff52000c00"), _u(n % 5, 1), _u(n + 1, 2), _u(n % 2, 1), _u(n % 6, 1), F.lit("040400"), _u(n % 2, 1))
+    first = n < 16
+    return _table(spark, sf_dir, "nation").select(
+        F.when(first, 0).otherwise(1).alias("profile"), F.when(first, n + 1).otherwise(n - 15).cast("int").alias("index"), F.unhex(F.concat(F.lit("ff4f"), siz, cod, F.lit("ff90"))).alias("content"),
+    )
+
+
+_CELLS = _values([(p, c, m, text) for (c, p, m), text in BOUNDS.items()], "profile, class, measure, cells")
+
+
+@_query(f"""
+WITH s AS (SELECT profile, class, measure, string_split(cells, ';') AS cells FROM ({_CELLS})),
+cell AS (SELECT profile, class, measure, CAST(i AS INTEGER) AS index, list_transform(string_split(cells[i], ':'), lambda x: CAST(x AS DOUBLE)) AS b FROM (SELECT *, unnest(range(1, len(cells) + 1)) AS i FROM s)),
+n AS (SELECT *, CASE WHEN n_nationkey < 16 THEN 0 ELSE 1 END AS profile, CAST(CASE WHEN n_nationkey < 16 THEN n_nationkey + 1 ELSE n_nationkey - 15 END AS INTEGER) AS index FROM nation),
+w AS (SELECT n.*, p.b AS pae, m.b AS mse, z.b AS pae0, printf('p%d_%02d', n.profile, n.index) AS name FROM n
+  JOIN cell p ON (p.profile, p.index, p.class, p.measure) = (n.profile, n.index, 1, 'pae') JOIN cell m ON (m.profile, m.index, m.class, m.measure) = (n.profile, n.index, 1, 'mse')
+  JOIN cell z ON (z.profile, z.index, z.class, z.measure) = (n.profile, n.index, 0, 'pae'))
+SELECT 'codestreams/' || name || '.j2k' AS codestream, CAST(len(pae) AS INTEGER) AS graded, list_max(pae) = 0 AND list_max(mse) = 0 AS bit_exact, list_max(pae) AS largest_pae, list_max(mse) AS largest_mse, pae0[1] AS pae0,
+  100 + 13 * n_nationkey AS width, 80 + 7 * n_nationkey AS height, CAST(n_regionkey + 4 AS INTEGER) AS components, CAST(n_nationkey % 5 + 8 AS INTEGER) AS depth,
+  CAST(ceil((100 + 13 * n_nationkey) / 64.0) AS BIGINT) AS tiles_x, CAST(ceil((80 + 7 * n_nationkey) / 32.0) AS BIGINT) AS tiles_y, ['LRCP', 'RLCP', 'RPCL', 'PCRL', 'CPRL'][n_nationkey % 5 + 1] AS progression,
+  CAST(n_nationkey + 1 AS INTEGER) AS layers, CAST(n_nationkey % 6 + 1 AS INTEGER) AS resolutions, n_nationkey % 2 = 1 AS reversible, 'references/c1' || name || '_' || (len(pae) - 1) || '.pgx' AS last_reference,
+  CASE name WHEN 'p0_03' THEN 'r0,r1' WHEN 'p0_15' THEN 'r0,r1' WHEN 'p1_04' THEN 'r0,r3' ELSE '' END AS at FROM w""")
+def conformance_manifest_entries(spark, sf_dir):
+    """The manifest of a corpus whose headers come from `nation`: bounds, features and references."""
+    m, f = conformance_manifest(_corpus(spark, sf_dir), conformance_bounds(spark)), "features."
+    of = lambda c: F.array_max(f"bounds_class1.{c}")
+    at = F.array_join(F.transform("references.class0", lambda r: F.regexp_extract(r, r"_[0-9]{2}(.*)\.pgx$", 1)), ",")
+    return m.select(
+        "codestream", F.col("graded_components").alias("graded"), "bit_exact", of("pae").alias("largest_pae"), of("mse").alias("largest_mse"), F.col("bounds_class0_first_component.pae")[0].alias("pae0"),
+        f + "width", f + "height", f + "components", F.array_max(f + "precision").alias("depth"), F.col(f + "tiles")[0].alias("tiles_x"), F.col(f + "tiles")[1].alias("tiles_y"), f + "progression", f + "layers", f + "resolutions", f + "reversible",
+        F.element_at("references.class1", -1).alias("last_reference"), at.alias("at"),
+    )
+
+
+@_query("""
+SELECT 'c/' || o_orderkey AS codestream, CASE o_orderkey % 9 WHEN 1 THEN 'codestream' WHEN 2 THEN 'features' WHEN 3 THEN 'graded' WHEN 4 THEN 'class1' WHEN 5 THEN 'class0' WHEN 6 THEN 'reference' WHEN 7 THEN 'pae'
+  WHEN 8 THEN CASE WHEN o_custkey % 2 = 0 THEN 'bit_exact' ELSE 'mse,bit_exact' END ELSE '' END AS faults FROM orders""")
+def conformance_consistency(spark, sf_dir):
+    """Rules that entries from `orders` break, each with at most two defects."""
+    k, d = F.col("o_orderkey"), F.col("o_orderkey") % 9
+    n = (F.col("o_custkey") % 3 + 1).cast("int")
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+    reference = F.concat(F.lit("r/"), k.cast("string"))
+    o = _table(spark, sf_dir, "orders")
+    manifest = o.select(
+        F.concat(F.lit("c/"), k.cast("string")).alias("codestream"), n.alias("graded_components"), F.when(d != 2, F.struct((n - F.when(d == 3, 1).otherwise(0)).alias("components"))).alias("features"),
+        F.struct(F.when(d == 5, F.array().cast("array<string>")).otherwise(F.array(reference)).alias("class0"), F.array_repeat(reference, n - F.when(d == 4, 1).otherwise(0)).alias("class1")).alias("references"),
+        F.struct(zeros(n + F.when(d == 7, 1).otherwise(0)).alias("pae"), zeros(n + F.when((d == 8) & (F.col("o_custkey") % 2 == 1), 1).otherwise(0)).alias("mse")).alias("bounds_class1"), (d != 8).alias("bit_exact"),
+    )
+    files = o.select(F.concat(F.lit("c/"), k.cast("string")).alias("path"), F.when(d == 1, F.unhex(F.lit("ff4d00"))).otherwise(F.unhex(F.lit("ff4fff51"))).alias("content"))
+    files = files.union(o.select(reference, F.when(d == 6, F.encode(F.lit("GP ML"), "UTF-8")).otherwise(F.encode(F.lit("PG ML + 8 1 1"), "UTF-8"))))
+    return check_entries(manifest, files).select("codestream", F.array_join("faults", ",").alias("faults"))
+
+
+def _images(t: DataFrame, key: str) -> DataFrame:
+    """An 8-bit image of 3 x 2 samples a row."""
+    samples = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: ((F.col(key) * 37 + i * i * 11) % 256).cast("int"))
+    return t.select(F.concat(F.lit("i"), F.col(key).cast("string")).alias("name"), F.lit(3).alias("width"), F.lit(2).alias("height"), F.lit(8).alias("bit_depth"), F.lit(False).alias("signed"), samples.alias("samples"), F.lit(None).cast("string").alias("error"))
+
+
+_SAMPLES = "list_transform(range(0, 6), lambda i: (k * 37 + i * i * 11) % 256)"
+
+
+@_query(f"""
+SELECT 'i' || k AS name, '{{"geometry":{{"width":3,"height":2,"bit_depth":8,"signed":false}},"tolerance":{{"mode":"exact"}},"samples":[' || array_to_string({_SAMPLES}, ',') || '],"provenance":{{"source":"orders","oracle_command":"none"}}}}' AS json
+FROM (SELECT o_orderkey AS k FROM orders)""")
+def snapshot_json(spark, sf_dir):
+    """Snapshots of images from `orders`, as they are written."""
+    return to_snapshots(_images(_table(spark, sf_dir, "orders"), "o_orderkey"), "orders", "none")
+
+
+@_query(f"""
+SELECT 'i' || k AS name, octet_length(encode('stream ' || k)) AS bytes, k % 4 <> 0 AND k % 4 <> 3 AS readable, CAST(CASE k % 4 WHEN 1 THEN 0.0 WHEN 2 THEN 1.5 END AS DOUBLE) AS max_abs_error,
+  CASE WHEN k % 4 IN (1, 2) THEN array_to_string({_SAMPLES}, ',') END AS samples FROM (SELECT n_nationkey AS k FROM nation)""")
+def fixture_scan(spark, sf_dir):
+    """Streams named by `nation` in a folder, beside snapshots that are there, missing or broken."""
+    folder, files = shared_folder(spark, "fixtures"), {}
+    for r in to_snapshots(_images(_table(spark, sf_dir, "nation"), "n_nationkey"), "nation", "none").toLocalIterator():  # 25 rows
+        k = int(r.name[1:])
+        files[f"a/{r.name}.j2k"] = f"stream {k}".encode()
+        text = {1: r.json, 2: r.json.replace('"exact"', '"absolute","max_abs_error":1.5'), 3: r.json.replace('"samples":[', '"samples":[1,')}.get(k % 4)
+        if text:
+            files[f"a/{r.name}.expected.json"] = text.encode()
+    files["a/alone.expected.json"] = b"{}"
+    write_files(spark, folder, files)
+    found = read_fixtures(spark, folder)
+    return found.select("name", F.octet_length("content").alias("bytes"), F.col("expected").isNotNull().alias("readable"), "max_abs_error", F.array_join(F.col("expected.samples").cast("array<string>"), ",").alias("samples"))
+
+
+@_query(f"""
+SELECT 'i' || k AS name, i, CAST(s[i + 1] AS INTEGER) AS value FROM (SELECT k, {_SAMPLES} AS s, unnest(range(0, 6)) AS i FROM (SELECT n_nationkey AS k FROM nation))""")
+def snapshot_read(spark, sf_dir):
+    """Snapshots written and read again, sample by sample."""
+    folder = shared_folder(spark, "snapshots")
+    made = to_snapshots(_images(_table(spark, sf_dir, "nation"), "n_nationkey"), "nation", "none")
+    write_files(spark, folder, {f"{r.name}.expected.json": r.json.encode() for r in made.toLocalIterator()})  # 25 rows
+    return read_snapshots(spark, folder).select("name", F.posexplode("expected.samples").alias("i", "value")).withColumn("i", F.col("i").cast("long"))
+
+
+@_query(f"""
+SELECT 'i' || k AS path, 11 + 6 AS bytes, i, CAST(s[i + 1] AS INTEGER) AS value FROM (SELECT k, {_SAMPLES} AS s, unnest(range(0, 6)) AS i FROM (SELECT c_custkey AS k FROM customer))""")
+def pgm_round_trip(spark, sf_dir):
+    """Images from `customer` as P5 files and back."""
+    files = to_pgm(_images(_table(spark, sf_dir, "customer"), "c_custkey")).select(F.col("name").alias("path"), "content")
+    back = pgm_images(files).join(files.select("path", F.octet_length("content").alias("bytes")), "path")
+    return back.select("path", "bytes", F.posexplode("samples").alias("i", "value")).withColumn("i", F.col("i").cast("long"))
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: table data through encoder, bytes and decoder."""
-    return roundtrip_53_pyramid(spark, "/root/testdata/sf0.001")
+    return roundtrip_53_pyramid(spark, sf_dir)

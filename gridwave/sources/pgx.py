@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 IMAGE = "path string, width int, height int, bit_depth int, signed boolean, samples array<int>, error string"
 _KINDS = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.string())
@@ -55,6 +56,14 @@ def parse_pgm(data: bytes) -> tuple[int, int, int, bool, np.ndarray]:
     return w, h, 8, False, np.frombuffer(body, np.uint8).astype(np.int64)
 
 
+def to_pgm(images: DataFrame) -> DataFrame:
+    """images with `content`, a binary P5 file, built without Python; null unless 8 bits, unsigned and whole."""
+    fits = (F.col("bit_depth") == 8) & ~F.col("signed") & (F.size("samples") == F.col("width") * F.col("height")) & F.forall("samples", lambda v: v.between(0, 255))
+    head = F.encode(F.format_string("P5\n%d %d\n255\n", F.col("width"), F.col("height")), "UTF-8")
+    body = F.unhex(F.array_join(F.transform("samples", lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), ""))
+    return images.withColumn("content", F.when(fits, F.concat(head, body)))
+
+
 def write_pgm(samples: np.ndarray) -> bytes:
     h, w = samples.shape
     return b"P5\n%d %d\n255\n" % (w, h) + samples.astype(np.uint8).tobytes()
