@@ -27,16 +27,18 @@ class Rows:
         index = np.concatenate([i for i, _ in parts] or [np.empty(0, np.int32)])
         return cls(begin, index, np.concatenate([v for _, v in parts] or [np.empty(0, np.float32)]))
 
-    def compact(self, least: int = 1) -> tuple[np.ndarray, Rows]:
-        """The features that `least` rows or more have, and the rows with those alone, by their place among them."""
+    def only(self, keep: np.ndarray) -> Rows:
+        """The rows with some of the features."""
+        kept = keep[self.index]
+        return Rows(np.concatenate(([0], np.cumsum(kept)))[self.begin], self.index[kept], self.value[kept])
+
+    def compact(self) -> tuple[np.ndarray, Rows]:
+        """The features that occur, and the rows with their places among them."""
         many = np.bincount(self.index, minlength=1)
-        used = np.flatnonzero(many >= max(least, 1))
+        used = np.flatnonzero(many)
         number = np.full(len(many), -1, np.int32)
         number[used] = np.arange(len(used))
-        place = number[self.index]
-        kept = place >= 0
-        begin = np.concatenate(([0], np.cumsum(kept)))[self.begin]
-        return used, Rows(begin, place[kept], self.value[kept])
+        return used, Rows(self.begin, number[self.index], self.value)
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Owner within rows, index and value of all their features."""
@@ -59,12 +61,12 @@ class CumulativeLink:
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
     @classmethod
-    def fit(cls, rows: Rows, target: np.ndarray, size: int, epochs: int = 12, batch: int = 256, rate: float = 0.5, l1: float = 1e-5, damping: float = 1e-6, seed: int = 7, weight: np.ndarray | None = None, least: int = 1) -> CumulativeLink:
+    def fit(cls, rows: Rows, target: np.ndarray, size: int, epochs: int = 12, batch: int = 256, rate: float = 0.5, l1: float = 1e-5, damping: float = 1e-6, seed: int = 7, weight: np.ndarray | None = None) -> CumulativeLink:
         """target: a distribution over the grades per row, weight: what each row counts. damping:
         squared gradients that every feature starts with; the larger, the smaller its first
-        steps. Features of fewer than `least` rows stay at zero."""
+        steps."""
         n, grades = target.shape
-        used, rows, full_size = *rows.compact(least), size
+        used, rows, full_size = *rows.compact(), size
         size = max(1, len(used))
         weight = np.ones(n) if weight is None else weight
         w, seen = np.zeros(size), np.full(size, damping)

@@ -4,12 +4,13 @@ Many voters look at each text: one per word of a stated lexicon, patterns, and w
 that labelled rows single out. A generative label model takes their means and covariances
 over all documents: for voters that are independent given the label, cov(i, j) =
 pi (1 - pi) d_i d_j with d_i the difference of a voter's rates in the two classes, so
-triplets of covariances give d_i. A voter without such triplets (one language may have a
+triplets of covariances give d_i. Its rate in clean texts is no lower than in labelled
+clean rows. A voter without such triplets (one language may have a
 single stem) keeps its rates in the labelled rows. What a pair covaries beyond the
 product is its correlation, and correlated voters share one say. The model's posteriors
 label a bounded sample, in which texts with a vote have a greater share and a smaller
 weight; a linear classifier over hashed words and stems, and those that a text repeats,
-learns them and scores every text.
+learns them, from words that chance can't explain, and scores every text.
 """
 
 from __future__ import annotations
@@ -149,6 +150,15 @@ class Features:
         return np.split(slot, np.searchsorted(doc, np.arange(1, self.n)))
 
 
+def _telling(toxic: np.ndarray, seen: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slots that so many toxic ones among those seen could have by chance with a probability
+    under 1 % over all slots (a Chernoff bound on the rate), and the evidence of every slot."""
+    share = np.clip(toxic / np.maximum(seen, 1), 1e-9, 1 - 1e-9)
+    rate = float(np.clip(rate, 1e-9, 1 - 1e-9))
+    evidence = seen * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate)))
+    return np.flatnonzero(evidence > np.log(100 * max(1, int((seen > 0).sum())))), evidence
+
+
 def mine(slots: list[np.ndarray], toxic: np.ndarray, weight: tuple[float, float] = (1.0, 1.0)) -> np.ndarray:
     """Slots that labelled toxic texts hold and clean ones hardly do.
 
@@ -162,12 +172,9 @@ def mine(slots: list[np.ndarray], toxic: np.ndarray, weight: tuple[float, float]
     if not n_toxic or n_toxic == len(toxic):
         return np.empty(0, np.int64)
     t, c = (np.bincount(np.concatenate([s for s, y in zip(slots, toxic) if y == k]), minlength=SIZE) for k in (1, 0))
-    rate = n_toxic / len(toxic)
-    n = np.maximum(t + c, 1)
-    share = np.clip(t / n, 1e-9, 1 - 1e-9)
-    evidence = np.where(share > rate, n * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate))), 0)
-    seen = int(((t + c) > 0).sum())
-    good = np.flatnonzero((evidence > np.log(100 * seen)) & (t * weight[1] >= LEAST_SHARE * (t * weight[1] + c * weight[0])))
+    good, evidence = _telling(t, t + c, n_toxic / len(toxic))
+    good = good[t[good] * weight[1] >= LEAST_SHARE * (t[good] * weight[1] + c[good] * weight[0])]
+    good = good[t[good] > 0]
     good = good[np.argsort(-evidence[good], kind="stable")]
     place = np.full(SIZE, -1)
     place[good] = np.arange(len(good))
@@ -218,6 +225,7 @@ class LabelModel:
                 d[i] = np.sqrt(np.median(cov[i, used[j]] * cov[i, used[k]] / cov[used[j], used[k]]) / spread)
         clean = np.clip(m - prior * d, 1e-4, 1 - 1e-4)
         toxic = np.clip(m + (1 - prior) * d, 1e-4, 1 - 1e-4)
+        clean = np.maximum(clean, np.minimum(known[1], 0.5))  # triplets of stems of one word see too few of its clean uses
         alone = d <= 0
         toxic[alone], clean[alone] = np.clip(known[0][alone], 1e-4, 1 - 1e-4), np.clip(known[1][alone], 1e-4, 1 - 1e-4)
         silent = (ones == 0) | (toxic <= clean)  # of which nothing is known
@@ -352,9 +360,13 @@ def fit(df: DataFrame, labels: DataFrame, toxic: Column, id_col: str = "doc_id",
     weight = np.array([r["copies"] / r["part"] for r in rows])
     features = Rows.of([(s, np.ones(len(s), np.float32)) for s in slots])
     del rows, slots, bits, model_of
+    # words that chance explains get no weight
+    marked = np.bincount(features.index, weights=np.repeat(p, np.diff(features.begin)), minlength=SIZE)
+    telling, _ = _telling(marked, np.bincount(features.index, minlength=SIZE), p.mean())
+    features = features.only(_wanted(telling))
     linear = CumulativeLink.fit(
         features, np.stack((1 - p, p), axis=1), SIZE,
-        epochs=16, batch=128, rate=0.5, l1=1e-3, damping=1e-4, weight=weight / weight.mean(), least=3,
+        epochs=16, batch=128, rate=0.5, l1=1e-4, damping=1e-4, weight=weight / weight.mean(),
     )
     return ToxicityModel(model, linear)
 
