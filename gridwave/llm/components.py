@@ -24,6 +24,7 @@ def components(store: Scratch, edges: DataFrame) -> DataFrame:
         for j in range(2):
             nxt = up.select(F.col("c").alias("root"), F.col("root").alias("far"))
             up = store.table(up.join(nxt, "root").select("c", F.col("far").alias("root")), f"cc-up{k}-{j}")
+            store.drop(f"cc-up{k}-{j - 1}" if j else f"cc-up{k}")
         if roots is None:
             roots = up
         else:
@@ -33,6 +34,7 @@ def components(store: Scratch, edges: DataFrame) -> DataFrame:
         moved = edges.join(pa, "a").join(pb, "b").where("ra <> rb")
         k += 1
         edges = store.table(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"cc-edges{k}")
+        store.drop(f"cc-edges{k - 1}" if k > 1 else "cc-edges", f"cc-roots{k - 2}")
     if roots is None:
         return edges.select(F.col("a").alias("c"), F.col("b").alias("root"))
     return roots

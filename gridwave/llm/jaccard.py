@@ -478,7 +478,9 @@ def _edges(spark: SparkSession, sc, store, docs, rows, slim, words, percent) ->
     )
     # the pairs inside a block are found where i = j; elsewhere only those between two blocks
     work = blocks.join(sets, ["c", "h"]).select("lead", "i", "j", "side", "c", "tokens").repartition(parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j", "c")
-    return store.table(work.mapInArrow(_verify(prefixes, percent), "a long, b long"), "edges")
+    edges = store.table(work.mapInArrow(_verify(prefixes, percent), "a long, b long"), "edges")
+    store.drop("held", "star")
+    return edges
 
 
 def _assemble(store: Scratch, slim: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:

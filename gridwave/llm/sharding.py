@@ -220,6 +220,7 @@ def kd_shards(df: DataFrame, target_bytes: int | None = None, shards: int | None
         moved = units.join(F.broadcast(moves), "cell", "left").join(F.broadcast(exact), ["cell", *group], "left")
         side = F.col("_left") + (scale.column() >= F.col("cut")).cast("long")
         units = store.table(moved.withColumn("cell", F.coalesce("_to", side, "cell")).drop("dim", "cut", "_left", "_to"), f"units{level}")
+        store.drop(f"units{level - 1}" if level else "units")
         cells, level = {c: cell for c, cell in nxt.items() if cell.leaves}, level + 1
     numbers = spark.createDataFrame([(c, i) for i, (_, c) in enumerate(sorted(leaves))], "cell long, shard int")
     placed = units.join(F.broadcast(numbers), "cell").select(*group, "rows", "shard")

@@ -1,7 +1,11 @@
+import os
 import random
 
+import pytest
+
+from gridwave.llm import store
 from gridwave.llm.components import components
-from gridwave.llm.store import Scratch
+from gridwave.llm.store import Scratch, released, shared_dir
 
 
 def test_paths_stars_and_loops(spark):
@@ -17,3 +21,31 @@ def test_paths_stars_and_loops(spark):
 
 def test_no_edges(spark):
     assert components(Scratch(spark, "t"), spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_tables_go_with_their_block(spark, tmp_path, monkeypatch):
+    folder = lambda: sorted(os.listdir(f"{tmp_path}/gridwave")) if os.path.isdir(f"{tmp_path}/gridwave") else []
+    monkeypatch.setattr(store, "shared_dir", lambda spark: f"file://{tmp_path}")
+    with released():
+        Scratch(spark, "one").table(spark.range(3), "t")
+        with released():
+            Scratch(spark, "two").table(spark.range(3), "t")
+        assert [f[:3] for f in folder()] == ["one"]
+    assert folder() == []
+    kept = Scratch(spark, "kept")
+    kept.table(spark.range(3), "a")
+    kept.table(spark.range(3), "b")
+    kept.drop("a")
+    assert os.listdir(f"{tmp_path}/gridwave/{folder()[0]}") == ["b"]
+    kept.release()
+    assert folder() == []
+
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "spark://somewhere:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
