@@ -16,7 +16,7 @@ from gridwave.llm.batches import map_texts, text_chunks
 from gridwave.llm.jaccard import ngram_jaccard_join
 from gridwave.llm.packing import best_fit_packing
 from gridwave.llm.queries import grade, token_test, vocabulary
-from gridwave.llm.store import Scratch
+from gridwave.llm.store import Scratch, released
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,9 +85,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again."""
-    store = Scratch(spark, "pipeline")
+    """All stages over the documents, each written and read again; what a stage leaves behind goes when the next one is written."""
+    store, last = Scratch(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = store.table(stage(spark, docs, sf_dir), name)
+        with released():
+            docs = store.table(stage(spark, docs, sf_dir), name)
+        if last:
+            store.drop(last)
+        last = name
     return docs
