@@ -134,8 +134,9 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Words are runs of anything but ASCII white space. base_failed: fewer than 20 words, or
     over 30 % of them in 8-word windows that the text repeats. kept: not base_failed, and
-    the compression bands hold. A null text counts as empty (no words, base_failed). Null
-    or repeated ids give a row each; empty input gives no rows; other columns are ignored.
+    the compression bands hold; a ratio just at a limit holds, and of lines that are alike the
+    first is no duplicate. A null text counts as empty (no words, base_failed). A text of any
+    length is read whole, in memory in proportion to it. Null or repeated ids give a row each; empty input gives no rows; other columns are ignored.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 

@@ -108,8 +108,9 @@ def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     """(id_col, n_words, n_tokens) per document, in one pass without a shuffle.
 
     Words are runs of anything but ASCII white space; each is cut greedily into the longest
-    pieces. A null text counts as empty (0 and 0). Null or repeated ids give a row each;
-    empty input gives no rows; other columns are ignored.
+    pieces, of equal ones there is but one. A null text counts as empty (0 and 0); a text of
+    any length is read whole, in memory in proportion to it. Null or repeated ids give a row
+    each; empty input gives no rows; other columns are ignored.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
